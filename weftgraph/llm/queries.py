@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftgraph.llm import chunked_encoding, packing
+from weftgraph.llm import abuse, chunked_encoding, packing
 from weftgraph.session import table
 
 
@@ -30,8 +31,27 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents"), specs), specs)
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of the documents with abusive, hateful or sexually explicit passages."""
+    return _scored(spark, d).where(F.col("p_abusive") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, severity, p_abusive of every document."""
+    return _scored(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """source, n_documents, n_abusive, rate, mean_severity."""
+    return abuse.rates(_scored(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_pack, p7_fill)}
+    return {f.__name__: f for f in (p6_ids, p7_pack, p7_fill, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
