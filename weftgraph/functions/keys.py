@@ -20,16 +20,23 @@ def _c(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Written out, an expression that uses its parts several times grows until the generated method is
+    too large for the JIT compiler; a lambda over a one-element array binds the part instead.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim_ws(value: ColumnLike) -> Column:
     """Trim Unicode white space on both sides (SQL's ``trim`` strips blanks only).
 
-    The regular expression runs only on strings that begin or end with anything that could be white
-    space.
+    The regular expression runs only where the first or last character is no printable ASCII.
     """
     c = _c(value)
-    plain = F.length(F.trim(c)) == F.length(c)
-    inner = c.rlike(r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]\z")
-    return F.when(plain & ~inner, c).otherwise(F.regexp_replace(c, _WS, ""))
+    printable = F.ascii(c).between(33, 126) & _ends_printable(c)
+    return F.when(printable, c).otherwise(F.regexp_replace(c, _WS, ""))
 
 
 def fold_segments(body: ColumnLike) -> Column:
@@ -37,15 +44,18 @@ def fold_segments(body: ColumnLike) -> Column:
     b = _c(body)
     framed = F.concat(F.lit("/"), b, F.lit("/"))
     dirty = framed.contains("//") | framed.contains("/./") | framed.contains("/../")
-    folded = F.aggregate(
-        F.split(b, "/"),
+    return F.when(~dirty, b).otherwise(_folded(b))
+
+
+def _folded(body: Column) -> Column:
+    return F.aggregate(
+        F.split(body, "/"),
         F.array().cast("array<string>"),
         lambda acc, x: F.when((x == "") | (x == "."), acc)
         .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(x))),
         lambda acc: F.array_join(acc, "/"),
     )
-    return F.when(~dirty, b).otherwise(folded)
 
 
 def clean_node_path(path: ColumnLike) -> Column:
@@ -63,12 +73,26 @@ def canonical_key(value: ColumnLike) -> Column:
     Outer white space goes; a leading ``res:`` that is not part of ``res://`` goes, with the blanks
     after it; of ``res://`` keys the file part (before the first ``::``) is trimmed and cleaned.
     """
-    t = trim_ws(value)
-    u = F.when(t.startswith("res:") & ~t.startswith(RES), trim_ws(F.substring(t, 5, 1 << 30))).otherwise(t)
-    raw_file = F.substring_index(u, "::", 1)
-    rest = F.substring(u, F.length(raw_file) + 1, F.lit(1 << 30))
-    cleaned = F.concat(F.lit(RES), fold_segments(F.substring(trim_ws(raw_file), 7, 1 << 30)), rest)
-    return F.when(u.startswith(RES), cleaned).otherwise(u)
+    c = _c(value)
+
+    def path(u: Column) -> Column:
+        return let(F.substring_index(u, "::", 1), lambda f: F.concat(F.lit(RES), _folded(F.substring(F.regexp_replace(f, _WS, ""), 7, 1 << 30)), F.substring(u, F.length(f) + 1, F.lit(1 << 30))))
+
+    def stripped(t: Column) -> Column:
+        inner = F.when(t.startswith("res:") & ~t.startswith(RES), F.regexp_replace(F.substring(t, 5, 1 << 30), _WS, "")).otherwise(t)
+        return let(inner, lambda u: F.when(u.startswith(RES), path(u)).otherwise(u))
+
+    whole = let(F.regexp_replace(c, _WS, ""), stripped)
+    # most keys are canonical already, which a few byte searches tell
+    tail = F.substring(c, 6, 1 << 30)
+    unclean = tail.contains("//") | tail.contains("/.") | tail.contains("/:") | tail.endswith("/")
+    clean_path = ~unclean & _ends_printable(c) & _ends_printable(F.substring_index(c, "::", 1))
+    clean = F.when(c.startswith(RES), clean_path).otherwise(~c.startswith("res:") & F.ascii(c).between(33, 126) & _ends_printable(c))
+    return F.when(clean, c).otherwise(whole)
+
+
+def _ends_printable(c: Column) -> Column:
+    return F.ascii(F.right(c, F.lit(1))).between(33, 126)
 
 
 def normalize_path(path: ColumnLike) -> Column:

@@ -37,8 +37,11 @@ def key_totals(states: DataFrame) -> DataFrame:
     return states.groupBy("endpoint", "key_id").agg(F.sum("n_edges").alias("n_edges"), F.min("first_observed_at").alias("first_observed_at"), F.max("last_observed_at").alias("last_observed_at"))
 
 
-def heavy_endpoints(states: DataFrame, share: float = 0.02) -> DataFrame:
-    """endpoint, key_id of the non-null keys with at least ``share`` of all edges at that endpoint."""
-    keys = key_totals(states).select("endpoint", "key_id", "n_edges")
-    totals = states.groupBy("endpoint").agg(F.sum("n_edges").alias("total"))  # two rows
-    return keys.where("key_id is not null").join(F.broadcast(totals), "endpoint").where(F.col("n_edges") >= F.col("total") * F.lit(share)).select("endpoint", "key_id")
+def heavy_endpoints(states: DataFrame, edges: DataFrame, share: float = 0.02) -> DataFrame:
+    """endpoint, key_id of the non-null keys with at least ``share`` of all edges at that endpoint.
+
+    The number of edges is that of their ids, each endpoint having one key of every edge.
+    """
+    total = edges.select(F.count_distinct("edge_id")).scalar()
+    keys = key_totals(states).where("key_id is not null")
+    return keys.where(F.col("n_edges") >= total * F.lit(share)).select("endpoint", "key_id")

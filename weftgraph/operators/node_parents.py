@@ -24,7 +24,8 @@ def node_links(nodes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFram
     both = nodes.select(*cols).unionByName(shared.select(*cols)).withColumn("i", F.from_json("identity", _IDENTITY))
     base = F.col("i.extends")
     key = canonical_key(base)
-    ancestor = F.when(base.isNull(), None).when(key.startswith(RES), key).otherwise(F.concat(F.lit("class:"), trim_ws(base)))
+    by_path = F.when(base.contains(RES), F.when(key.startswith(RES), key))
+    ancestor = F.coalesce(by_path, F.concat(F.lit("class:"), trim_ws(base)))
     inside = F.concat(F.col("i.scene"), F.lit("::"), clean_node_path(F.col("i.parent")))
     script = canonical_key(F.col("i.script"))
     is_alias = (F.col("kind") == "class") & F.col("i.script").isNotNull()

@@ -64,7 +64,7 @@ def snapshot_changes(states: DataFrame, keys: list[str], first: int, last: int)
         pair = (F.col("snapshot_no") + shift).alias("pair")
         rows = ok.select("kh", *keys, pair, "delivered_at", *extra).where(F.col("pair").between(first + 1, last))
         w = Window.partitionBy("kh", *keys, "pair").orderBy(F.col("delivered_at").desc_nulls_last(), F.desc("content"))
-        kept = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "delivered_at")
+        kept = rows.withColumn("_before", F.lag(F.lit(1)).over(w)).where("_before is null")
         return kept.select("kh", *keys, "pair", *[F.col(c).alias(f"{tag}_{c}") for c in extra])
 
     both = side(1, "old").join(side(0, "new"), ["kh", *keys, "pair"], "full_outer")

@@ -48,7 +48,8 @@ def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """endpoint, key_id of the keys with at least 2 % of the edges at that endpoint."""
-    return hotkeys.heavy_endpoints(hotkeys.endpoint_states(table(spark, d, "edges")))
+    edges = table(spark, d, "edges")
+    return hotkeys.heavy_endpoints(hotkeys.endpoint_states(edges), edges)
 
 
 def p3_keys(spark: SparkSession, d: str) -> DataFrame:
