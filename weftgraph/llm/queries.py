@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import abuse, chunked_encoding, packing
+from weftgraph.llm import abuse, chunked_encoding, packing, syntax
 from weftgraph.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """file_id of the files that are not well-formed in the language of their path."""
+    return syntax.found(table(spark, d, "source_files"))
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, repo, language, malformed, first_line, first_message, errors of every file."""
+    return syntax.judge(table(spark, d, "source_files"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """repo, language, n_files, n_malformed, rate."""
+    return syntax.rates(syntax.judge(table(spark, d, "source_files")), "repo", "language")
+
+
+def p5_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """language, n_files, n_accepted, acceptance."""
+    return syntax.acceptance(syntax.judge(table(spark, d, "source_files")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, ids of every document by byte_bpe_50k."""
     return chunked_encoding.encode_column(table(spark, d, "documents"))
@@ -51,7 +71,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_pack, p7_fill, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p5_found, p5_files, p5_rates, p5_acceptance, p6_ids, p7_pack, p7_fill, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,7 @@ Tree nodes are tuples ``(kind, line, ...)``:
 from __future__ import annotations
 
 import re
+import sys
 from typing import NamedTuple
 
 
@@ -135,7 +136,9 @@ class Parser:
         return t
 
     def fail(self, message: str) -> None:
-        self.problems.append(Problem(self.tok.line, message))
+        # what is missing at the end of a line is missing there, not on the next
+        at = self.toks[self.i - 1] if self.i and self.over() else self.tok
+        self.problems.append(Problem(at.line, message))
         raise _Panic
 
     def expect(self, text: str) -> Token:
@@ -151,7 +154,7 @@ class Parser:
 
     def over(self) -> bool:
         """Whether the statement ends before the current token."""
-        return self.tok.kind == "end" or (self.tok.nl and self.lines)
+        return self.tok.kind == "end" or (self.tok.nl and self.lines and self.i != self.started)
 
     def take(self, text: str) -> bool:
         if self.at(text):
@@ -169,13 +172,12 @@ class Parser:
         if self.at(";"):
             while self.take(";"):
                 pass
-        elif not self.over() and not (not self.closing and False):
+        elif not self.over():
             if self.in_lambda and self.tok.text in (")", "]", "}", ","):
                 return
             self.fail(f"expected end of statement, found {self.shown()}")
 
     in_lambda = 0
-    closing = False
 
     def recover(self) -> None:
         """Skip to the next line; every bracket is taken as closed."""
@@ -262,6 +264,9 @@ class Parser:
             marks = self.annotations()
             if self.tok.kind == "end" or self.tok.nl:
                 # on a line of its own: belongs to what follows, or to the script
+                if self.tok.text == "func" and any(m[2] == "abstract" for m in marks):
+                    self.started = self.i
+                    return [*marks, *self.declared(marks)]
                 return list(marks)
             return [*marks, *self.declared(marks)]
         return self.declared([])
@@ -790,9 +795,11 @@ class Parser:
 def parse(text: str) -> tuple[list, list[Problem]]:
     """The tree of a script and all problems, in order of lines."""
     p = Parser(text)
+    limit = sys.getrecursionlimit()
+    # nesting is no error, however deep: a token opens a bounded number of calls
+    sys.setrecursionlimit(max(limit, 20 * len(p.toks) + 1000))
     try:
         tree = p.module()
-    except RecursionError:
-        p.problems.append(Problem(p.tok.line, "nesting is too deep to read"))
-        tree = []
+    finally:
+        sys.setrecursionlimit(limit)
     return tree, sorted(p.problems)
