@@ -1,0 +1,14 @@
+from weftgraph.llm import abuse
+
+
+def rated(n: int) -> list[tuple[str, int]]:
+    """A fifth is abusive, two of these by a phrase that no other has."""
+    n_bad = n // 5
+    bad = [("Zorblak fendrik quop.", 2)] * 2 + [(f"Miserable grubling number{i} begone.", 1) for i in range(n_bad - 2)]
+    return bad + [(f"The weather of day{i} is mild.", 0) for i in range(n - n_bad)]
+
+
+def test_the_same_phrase_tells_at_every_size():
+    for n in (50, 400, 405, 1000):
+        model = abuse.train(rated(n))
+        assert model.weights.get("zorblak fendrik quop", 0) > 0, n

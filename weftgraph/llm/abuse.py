@@ -41,6 +41,7 @@ MAX_RATED = 12_000
 MAX_FEATURES = 200_000
 THRESHOLD = 0.5
 TELLING = 0.5  # rate from which on a feature counts as telling
+PRIOR = 2.0  # documents of the average rate that every feature is drawn towards, at every size; chosen on held-out rated documents
 BOOST = 2.0  # an abusive passage counts so many times: disguises make each spelling rare
 GRADES = {"insult": 1, "sexual": 2, "hate": 3, "threat": 4}
 N_GRADES = 5
@@ -205,11 +206,10 @@ def train(rated: list[tuple[str, int]], rounds: int = 2) -> OrdinalModel:
         if ps:
             (bad if g else good).update(set().union(*map(feats, ps)))
     share = sum(map(bool, grades)) / len(grades)
-    prior = 4.0 if len(rated) > 400 else 1.5
 
     # how often a document with the feature is abusive, drawn towards the share of abusive documents
     def rate_of(f: str) -> float:
-        return (bad[f] + prior * share) / (bad[f] + good[f] + prior)
+        return (bad[f] + PRIOR * share) / (bad[f] + good[f] + PRIOR)
 
     telling = {f: r for f in bad if (r := rate_of(f)) > TELLING}
 
