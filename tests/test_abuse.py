@@ -12,3 +12,29 @@ def test_the_same_phrase_tells_at_every_size():
     for n in (50, 400, 405, 1000):
         model = abuse.train(rated(n))
         assert model.weights.get("zorblak fendrik quop", 0) > 0, n
+
+
+def test_letters_set_apart_by_blanks_are_joined():
+    assert abuse.words_of("tous sont de la v e r m i n e.") == ["tous", "sont", "de", "la", "vermine"]
+    assert abuse.words_of("à 4 h ou à 5 h") == abuse.words_of("à 4 h ou à 5 h", abuse.Vocabulary({}))
+    assert abuse.words_of("à 4 h")[0] == "à"
+
+
+def test_a_run_of_several_words_is_split_into_words_of_the_model():
+    v = abuse.Vocabulary({"mierda": 1.0}, {"pedazo", "de", "mierda", abuse.fold_word("голая")})
+    for run in ("p e d a z o d e m i e r d a", "p.e.d.a.z.o.d.e.m.i.e.r.d.a"):
+        assert abuse.words_of(f"un {run}!", v) == ["un", "pedazo", "de", "mierda"]
+    assert abuse.words_of("г о л а я и стонала", v) == [abuse.fold_word(w) for w in ("голая", "и", "стонала")]
+    assert abuse.words_of("x q z w", v) == ["xqzw"]
+
+
+def test_a_case_spelled_with_blanks_is_found():
+    model = abuse.train(rated(100))
+    v = model.vocabulary()
+
+    def p(text: str) -> float:
+        return max(model.above(model.linear(abuse.features_of(abuse.words_of(x, v))))[0] for x in abuse.passages(text))
+
+    for text in ("Zorblak fendrik quop.", "Z o r b l a k f e n d r i k q u o p.", "Zorblak f e n d r i k quop."):
+        assert p(text) >= abuse.THRESHOLD
+    assert p("The weather is m i l d.") < abuse.THRESHOLD

@@ -2,7 +2,8 @@
 
 *Features.*  A text is split into passages (sentences); every word is folded so that disguises fall
 together: compatibility forms, case, invisible characters, look-alike letters of other scripts,
-digits for letters, letters set apart by dots or dashes, repeated letters.  A word with masked letters
+digits for letters, letters set apart by dots, dashes or (four and more) blanks, repeated letters.  A
+run of letters set apart that holds several words is split into words of the model.  A word with masked letters
 is looked up among the words of the model by what stands before and after the mask.  Features are the
 passage's words, word pairs and triples, and for Chinese characters runs of up to four.
 
@@ -31,6 +32,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,7 @@ DIGITS = str.maketrans("0134578@$", "oieastbas")
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _CJK = "㐀-鿿"
 _CJK_GAP = re.compile(f"(?<=[{_CJK}])[ .\\-_·*•]{{1,2}}(?=[{_CJK}])")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_·•][^\W_]){1,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:[.\-_·•][^\W_])+|(?: [^\W_]){3,})(?![^\W_])")
 _PASSAGE = re.compile(r"(?<=[!?。！？])\s*|(?<=[.])\s+|[\r\n]+")
 _WORD = re.compile(f"[{_CJK}]|(?:(?![{_CJK}])[^\\W_])+(?:[*#]+(?:(?![{_CJK}])[^\\W_])*)*")
 _REPEAT = re.compile(r"(.)\1+")
@@ -69,10 +71,13 @@ def fold_text(text: str) -> str:
     return t.lower()
 
 
-def _joined(m: re.Match) -> str:
-    return re.sub(r"[.\-_·•]", "", m.group())
+def _joined(m: re.Match, vocabulary: Vocabulary | None = None) -> str:
+    """The word, or words, whose letters are set apart."""
+    run = re.sub(r"[.\-_·• ]", "", m.group())
+    return vocabulary.split(run) if vocabulary else run
 
 
+@lru_cache(1 << 16)
 def fold_word(w: str) -> str:
     """One spelling for the disguises of a word."""
     if w.isdigit():
@@ -91,13 +96,41 @@ def passages(text: str) -> list[str]:
 class Vocabulary:
     """Words of the model by what is left of them when one letter is masked."""
 
-    def __init__(self, words: dict[str, float]):
+    def __init__(self, words: dict[str, float], phrase_words: set[str] | None = None):
         self.around: dict[tuple[str, str], str] = {}
         for w in sorted(words, key=lambda x: words[x]):  # the weightiest last: it wins
             for i in range(len(w)):
                 for n in (1, 2):
                     if i + n <= len(w):
                         self.around[w[:i], w[i + n :]] = w
+        self.words = phrase_words or set(words)
+        self.longest = max(map(len, self.words), default=0)
+
+    def split(self, run: str) -> str:
+        """A run of letters as the fewest words of the model that make it up, else as one word.
+
+        A letter at either end may be a word of its own; letters that meet at a boundary may be folded into one.
+        """
+        s = fold_word(run)
+        if s in self.words:
+            return run
+        best: list[tuple[int, int, str] | None] = [(0, -1, "")] + [None] * len(s)  # words so far, where the last one begins, the last one
+        for i in range(len(s)):
+            if best[i] is None:
+                continue
+            for a in (i, i - 1) if i else (i,):
+                for e in range(i + 1, min(len(s), a + self.longest) + 1):
+                    w = s[a:e]
+                    edge = a == i and e == i + 1 and (not i or e == len(s))
+                    if (w in self.words or edge) and (best[e] is None or best[i][0] + 1 < best[e][0]):
+                        best[e] = (best[i][0] + 1, i, w)
+        out, at = [], len(s)
+        if best[at] is None:
+            return run
+        while at:
+            out.append(best[at][2])
+            at = best[at][1]
+        return " ".join(reversed(out))
 
     def unmask(self, w: str) -> str:
         m = re.fullmatch(r"([^*#]*)[*#]+([^*#]*)", w)
@@ -108,7 +141,7 @@ class Vocabulary:
 
 def words_of(passage: str, vocabulary: Vocabulary | None = None) -> list[str]:
     out = []
-    for w in _WORD.findall(_SPACED.sub(_joined, passage)):
+    for w in _WORD.findall(_SPACED.sub(lambda m: _joined(m, vocabulary), passage)):
         if "*" in w or "#" in w:
             w = vocabulary.unmask(w) if vocabulary else "<masked>"
         elif len(w) > 1 or not "㐀" <= w <= "鿿":
@@ -138,6 +171,11 @@ class OrdinalModel:
     def __init__(self, weights: dict[str, float], theta: np.ndarray):
         self.weights, self.theta = weights, theta
 
+    def vocabulary(self) -> Vocabulary:
+        """Words that tell by themselves, and all words of what tells."""
+        single = {f: x for f, x in self.weights.items() if " " not in f and len(f) > 2 and x > 0}
+        return Vocabulary(single, {w for f, x in self.weights.items() if x > 0 for w in f.split()})
+
     def above(self, x: float) -> list[float]:
         """P(grade > k) for each threshold k, at the linear score x."""
         return [1 / (1 + math.exp(min(60.0, max(-60.0, t - x)))) for t in self.theta]
@@ -193,7 +231,7 @@ def train(rated: list[tuple[str, int]], rounds: int = 2) -> OrdinalModel:
     model: OrdinalModel | None = None
 
     def feats(p: str) -> set[str]:
-        if vocabulary and ("*" in p or "#" in p):
+        if vocabulary and ("*" in p or "#" in p or _SPACED.search(p)):
             return features_of(words_of(p, vocabulary))
         got = plain.get(p)
         if got is None:
@@ -253,7 +291,7 @@ def train(rated: list[tuple[str, int]], rounds: int = 2) -> OrdinalModel:
         start = fit_ordinal(rows, y, weight, len(index), start)
         w, theta = start
         model = OrdinalModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, theta)
-        vocabulary = Vocabulary({f: x for f, x in model.weights.items() if " " not in f and len(f) > 2 and x > 0})
+        vocabulary = model.vocabulary()
         if step < rounds:
             suspect = set()
             for i, ps in enumerate(split):
@@ -282,7 +320,7 @@ def rated_documents(documents: DataFrame, labels: DataFrame, limit: int = MAX_RA
 
 def _scorer(model: OrdinalModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary({f: x for f, x in model.weights.items() if " " not in f and len(f) > 2 and x > 0})
+        vocabulary = model.vocabulary()
         known: dict[str, float] = {}
         for batch in batches:
             best = []
