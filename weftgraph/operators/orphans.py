@@ -8,7 +8,8 @@ The state has two tables in the shared folder:
 ``OrphanState.apply`` takes what arrived since the last call.  New references probe the index.
 Parents that arrived or changed are matched with the ledger: an arrival resolves the orphans that
 wait for its key, a deletion reopens those it leaves behind.  References that no changed parent
-concerns keep their verdict without being probed again.  ``snapshot`` counts the ledger.
+concerns keep their verdict without being probed again.  ``snapshot`` counts the ledger.  ``history``
+gives the counts after every month of loading.
 
 Keys travel as 16-byte digests, so the state stays small.  Rows of hot keys are dealt over salted
 buckets (``plans.skew``).  Defined results: references whose key is null, empty or symbolic are no
@@ -19,7 +20,7 @@ parent was added finds it, at the very time of removal it does not; copies count
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import canonical_key, is_reference
@@ -97,23 +98,66 @@ class OrphanState:
         return self.ledger.where("kh is not null").groupBy("src_table", month).agg(F.count(F.lit(1)).alias("n_references"), F.count_if("orphan").alias("n_orphans"))
 
 
-def replay(refs: DataFrame, records: DataFrame, batches: int = 3, snapshots: bool = False) -> tuple[OrphanState, list[DataFrame]]:
-    """Feed whole tables in the order in which they were loaded, in ``batches`` equal spans of time.
-
-    Returns the state after the last batch and, if asked for, the snapshot table after each.
-    """
+def replay(refs: DataFrame, records: DataFrame, batches: int = 3) -> OrphanState:
+    """The state after whole tables were fed in the order in which they were loaded, in ``batches`` equal spans of time."""
     span = refs.select("loaded_at").unionByName(records.select("loaded_at")).agg(F.min(F.unix_micros(F.col("loaded_at").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("loaded_at").cast("timestamp"))).alias("hi")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
     width = (hi - lo) // batches + 1
     at = F.coalesce(((F.unix_micros(F.col("loaded_at").cast("timestamp")) - lo) / width).cast("int"), F.lit(0))
-    state, shots = OrphanState(), []
+    state = OrphanState()
     for k in range(batches):
         state.apply(refs.where(at == k), records.where(at == k))
-        if snapshots:
-            shots.append(cut(state.snapshot().withColumn("batch_no", F.lit(k + 1)), "shot"))
-    return state, shots
+    return state
+
+
+def _reigns(df: DataFrame, by: list[str], batch: Column) -> DataFrame:
+    """Each version with the batches ``since`` .. ``until`` - 1 after which it is the current row (``until`` null: to the end)."""
+    w = Window.partitionBy(*by).orderBy(F.col("loaded_at").asc_nulls_first())
+    return df.withColumn("since", batch).withColumn("until", F.lead("since").over(w)).where("until is null or until > since").drop("loaded_at")
+
+
+def history(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """The snapshot after each month of ``loaded_at``: src_table, month, n_references, n_orphans, batch_no.
+
+    A batch is what was loaded in one calendar month; batch 1 is the first month of the span, and there
+    are as many batches as months in the span (months without loads repeat the counts).  Rows without
+    ``loaded_at`` are in batch 1.  Rather than replaying the batches, every version of a reference and of
+    a record gets the batches in which it is current; what a reference finds begins and ends with
+    their overlaps.  The beginnings and ends are counted per batch and summed up over the batches, so the
+    cost does not grow with their number.
+    """
+    no = F.year("loaded_at") * 12 + F.month("loaded_at")
+    span = refs.select("loaded_at").unionByName(records.select("loaded_at")).agg(F.min(no).alias("lo"), F.max(no).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    batch = F.coalesce(no - lo + 1, F.lit(1))
+    month = F.date_format("observed_at", "yyyy-MM").alias("month")
+    end = F.lit(hi - lo + 2)
+
+    versions = cut(_reigns(refs, ["src_table", "row_id"], batch).where("kh is not null"), "versions")
+    known = _reigns(records, ["kh"], batch).withColumnsRenamed({"since": "psince", "until": "puntil"}).withColumn("found", F.lit(True))
+    met = spread_left_join(versions, known, "kh", "row_id", heavy_keys(versions, "kh")).where(~_missing())
+    begun, over = F.greatest("since", "psince"), F.least(F.coalesce("until", end), F.coalesce("puntil", end))
+    met = met.select("src_table", month, begun.alias("since"), over.alias("until")).where("until > since")
+
+    def steps(df: DataFrame, refs_by: int, found_by: int) -> DataFrame:
+        ends = F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("sign")), F.struct(F.coalesce("until", end).alias("at"), F.lit(-1).alias("sign")))).alias("e")
+        return df.select("src_table", "month", ends).select("src_table", "month", "e.at", (F.col("e.sign") * refs_by).alias("r"), (F.col("e.sign") * found_by).alias("f"))
+
+    changes = steps(versions.select("src_table", month, "since", "until"), 1, 0).unionByName(steps(met, 0, 1))
+    changes = changes.where(F.col("at") < end).groupBy("src_table", "month", "at").agg(F.sum("r").alias("r"), F.sum("f").alias("f"))
+    # a row for each month of observation and batch: small
+    counts = changes.select("src_table", "month", "r", "f", F.explode(F.sequence("at", end - 1)).alias("batch_no")).groupBy("src_table", "month", "batch_no").agg(F.sum("r").alias("n_references"), F.sum("f").alias("n_found"))
+    return counts.where("n_references > 0").select("src_table", "month", "n_references", (F.col("n_references") - F.col("n_found")).alias("n_orphans"), "batch_no")
 
 
-def orphan_state(nodes: DataFrame, shared: DataFrame, edges: DataFrame, boundaries: DataFrame, batches: int = 3, snapshots: bool = False) -> tuple[OrphanState, list[DataFrame]]:
+def _tables(nodes: DataFrame, shared: DataFrame, edges: DataFrame, boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     refs = references(edges, "edges", "edge_id", "target_id").unionByName(references(boundaries, "boundaries", "boundary_id", "match_key"))
-    return replay(refs, parents(nodes).unionByName(parents(shared)), batches, snapshots)
+    return refs, parents(nodes).unionByName(parents(shared))
+
+
+def orphan_state(nodes: DataFrame, shared: DataFrame, edges: DataFrame, boundaries: DataFrame, batches: int = 3) -> OrphanState:
+    return replay(*_tables(nodes, shared, edges, boundaries), batches)
+
+
+def orphan_history(nodes: DataFrame, shared: DataFrame, edges: DataFrame, boundaries: DataFrame) -> DataFrame:
+    return history(*_tables(nodes, shared, edges, boundaries))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,23 +26,23 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return node_hierarchy(table(spark, d, "nodes"), table(spark, d, "shared_nodes"), with_paths=True).descendants()
 
 
-def _orphans(spark: SparkSession, d: str, snapshots: bool = False):
-    return orphans.orphan_state(*(table(spark, d, t) for t in ("nodes", "shared_nodes", "edges", "boundaries")), snapshots=snapshots)
+def _referring(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("nodes", "shared_nodes", "edges", "boundaries")]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """src_table, row_id of the references to records that do not exist."""
-    return _orphans(spark, d)[0].orphans()
+    return orphans.orphan_state(*_referring(spark, d)).orphans()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """src_table, month, n_references, n_orphans after everything was loaded."""
-    return _orphans(spark, d)[0].snapshot()
+    return orphans.orphan_state(*_referring(spark, d)).snapshot()
 
 
 def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """The report after each batch: src_table, month, n_references, n_orphans, batch_no."""
-    return reduce(DataFrame.unionByName, _orphans(spark, d, True)[1])
+    """The report after each month of loading: src_table, month, n_references, n_orphans, batch_no."""
+    return orphans.orphan_history(*_referring(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
