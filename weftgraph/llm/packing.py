@@ -3,7 +3,7 @@
 Each task reads its documents in order and packs them at once, with ``open_bins`` open containers per
 specification.  Their free spaces are kept in a bitset - bit f is set while some open container has f
 tokens free - so the tightest container that takes an item is the lowest set bit at or above its
-size.  When all are open and none fits, the fullest one is closed.  Items are never moved and never
+size.  When all are open, none fits and the new one has space left, the fullest one is closed.  Items are never moved and never
 shuffled.
 
 What is still open at the end of a task (at most ``open_bins`` containers per specification) is
@@ -54,7 +54,7 @@ class BestFit:
             free = size + (fitting & -fitting).bit_length() - 1
             b = self._take(free)
         else:
-            if self.n_open == self.space:
+            if self.n_open == self.space and size < self.capacity:  # else the new bin is full at once
                 self._take((self.free_bits & -self.free_bits).bit_length() - 1)  # closes the fullest
             b, free = self.n_bins, self.capacity
             self.n_bins += 1
