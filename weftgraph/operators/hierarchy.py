@@ -22,6 +22,14 @@ task.  Nothing is collected to the driver but two counts a round.
 Defined results: a node without parent, or whose parent does not exist, is a root of depth 0.  Nodes
 on or below a cycle get ``cycle_id``; the members of the cycle have depth 0 and are their own entry
 points; a node below has the depth from the member that its chain enters and that member as root.
+The descendants of a ring member are the nodes of the trees that hang on that member alone, and
+``n_descendants`` counts these: the other members of the ring, and what hangs on them, are no
+descendants of it, and no node is its own.  With A<->B and C below B, B has one descendant, A none.
+
+Descendants are not sent up while peeling, which sends counts and sizes only: a list at a parent
+would grow with its subtree, a root with a third of all nodes would get a third of the table in one
+row.  The lists of ancestors that step 4 hands down are as long as the chain is deep, and
+``descendants`` turns them into rows; on chains that end the rows are the same.
 Rows with a null ``node_id`` are ignored; repeated ``node_id`` must be resolved by the caller
 (``current_rows``).  An empty table gives empty results.
 """
@@ -195,7 +203,10 @@ class Hierarchy:
         self.placed, self.names, self.cycles = placed, names, cycles
 
     def nodes(self) -> DataFrame:
-        """node_id, depth, root_id, n_descendants, cycle_id (and path if it was asked for)."""
+        """node_id, depth, root_id, n_descendants, cycle_id (and path if it was asked for).
+
+        ``n_descendants`` of a ring member counts the trees that hang on that member, not the ring.
+        """
         roots = self.names.select(F.col("nid").alias("root"), F.col("node_id").alias("root_id"))
         out = self.placed.join(self.names, "nid").join(roots, "root").join(self.cycles, "cyc", "left")
         extra = ["path"] if "path" in self.placed.columns else []
@@ -209,7 +220,8 @@ class Hierarchy:
         """ancestor_id, node_id, distance: the descendant lists as rows.
 
         Rows, as a root with a third of all nodes below it would make one list of unbounded length.
-        Nodes below a cycle have the ancestors up to the member that they enter.
+        They are made from the lists of ancestors handed down.  Nodes below a cycle have the ancestors
+        up to the member that they enter; ring members have no ancestors and are nobody's descendants.
         """
         pairs = self.placed.where(F.size("anc") > 0).select("nid", F.size("anc").alias("n"), F.posexplode("anc").alias("pos", "up"))
         above = self.names.select(F.col("nid").alias("up"), F.col("node_id").alias("ancestor_id"))
