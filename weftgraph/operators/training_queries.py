@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.operators import hotkeys, orphans, snapshot_diff
+from weftgraph.operators import fan, hotkeys, orphans, snapshot_diff
 from weftgraph.operators.node_parents import node_hierarchy
 from weftgraph.session import table
 
@@ -61,5 +61,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_diff.graph_changes(table(spark, d, "node_snapshots"), table(spark, d, "edge_snapshots"))
 
 
+def op1_links(spark: SparkSession, d: str) -> DataFrame:
+    """source_id, target_id of every link of the graph."""
+    return fan.links(fan.vertices(table(spark, d, "nodes"), table(spark, d, "shared_nodes")), table(spark, d, "edges"))
+
+
+def op5_fan(spark: SparkSession, d: str) -> DataFrame:
+    """node_id, fan_in, fan_out of every node of the graph."""
+    ids = fan.vertices(table(spark, d, "nodes"), table(spark, d, "shared_nodes"))
+    return fan.fan(ids, fan.links(ids, table(spark, d, "edges")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_report, p2_snapshots, p3_found, p3_keys, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_report, p2_snapshots, p3_found, p3_keys, p4_found, op1_links, op5_fan)}
