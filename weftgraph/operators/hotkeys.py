@@ -1,9 +1,10 @@
 """Per-key results when a few keys hold most rows: map-side combining.
 
 Each task folds its rows into a hash table of (endpoint, key, type, origin) states - count, first
-and last time - which spills when it outgrows its memory; only those partial states are shuffled.  So
-a key with a third of all rows reaches the reducer as a handful of rows per map task, and no task
-gets its records.  Spark's two-phase aggregate of algebraic functions is exactly that operator.
+and last time - which spills when it outgrows its memory; only those partial states are shuffled by
+key.  So a key with a third of all rows reaches the reducer as a handful of rows per map task, and no
+task gets its records.  Spark's two-phase aggregate of algebraic functions is exactly that operator.
+The edges themselves cross one exchange before, by their own ids, which finds their current versions.
 
 Defined results: keys are canonical; null keys are kept as a group of their own (they count into the
 totals); copies and superseded versions of an edge count once; null type and origin are groups of
@@ -37,11 +38,14 @@ def key_totals(states: DataFrame) -> DataFrame:
     return states.groupBy("endpoint", "key_id").agg(F.sum("n_edges").alias("n_edges"), F.min("first_observed_at").alias("first_observed_at"), F.max("last_observed_at").alias("last_observed_at"))
 
 
-def heavy_endpoints(states: DataFrame, edges: DataFrame, share: float = 0.02) -> DataFrame:
+def heavy_endpoints(states: DataFrame, share: float = 0.02) -> DataFrame:
     """endpoint, key_id of the non-null keys with at least ``share`` of all edges at that endpoint.
 
-    The number of edges is that of their ids, each endpoint having one key of every edge.
+    Each edge counts once at either endpoint, null keys included, so the number of edges is half the
+    sum of all totals: the same exchange serves the total and the keys, and the edges are read once.
     """
-    total = edges.select(F.count_distinct("edge_id")).scalar()
-    keys = key_totals(states).where("key_id is not null")
-    return keys.where(F.col("n_edges") >= total * F.lit(share)).select("endpoint", "key_id")
+    totals = states.groupBy("endpoint", "key_id").agg(F.sum("n_edges").alias("n_edges"))
+    ends = totals.select(F.sum("n_edges")).scalar()
+    # one predicate on the sum, as a filter on the key would move below the exchange of one side only
+    named = F.when(F.col("key_id").isNotNull(), F.col("n_edges"))
+    return totals.where(named * 2 >= ends * F.lit(share)).select("endpoint", "key_id")
