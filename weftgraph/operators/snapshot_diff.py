@@ -1,16 +1,18 @@
 """What changed between full snapshots: a full outer join on the primary key.
 
-Each record becomes (key, snapshot, 128-bit hash of its canonical content, confidence).  Snapshot k
-as the older side and snapshot k+1 as the newer meet in one full outer join on (key, pair number) for
-all pairs at once: a missing side is an addition or a removal, unequal hashes are a change.  The
-older side is keyed by its number plus one before anything is shuffled, so the exchange that finds the
-latest delivery also serves the join: two exchanges in all.
+Each record becomes (key, snapshot, 128-bit hash of its canonical content, confidence), once, in a
+written table.  A snapshot as the older side and the next one as the newer meet in one full outer
+join on (key, pair) for all pairs at once: a missing side is an addition or a removal, unequal hashes
+are a change.  The next snapshot is the next number that was delivered, so a gap in the numbers is no
+empty snapshot.  The older side is keyed by the number that follows its own before anything is
+shuffled, so the exchange that finds the latest delivery also serves the join: two exchanges in all.
 
 Defined results: within a snapshot the row delivered last counts (equal times: the one with the
-greater hash); null equals '', 0 and, for identity, ``{}``; a null confidence equals 1.0, and
-confidences nearer than 1e-6 are equal; identity is compared as a JSON value (key order, white space
-and number spelling do not matter; text that is no JSON is compared as it is).  Rows with a null key
-or snapshot number are ignored; an empty table gives no rows.
+greater hash, then the greater confidence); null equals '', 0 and, for identity, ``{}``; a null
+confidence equals 1.0, and confidences nearer than 1e-6 are equal; identity is compared as a JSON value
+(key order and white space do not matter, 1 equals 1.0, but a number with an exponent is its own
+value; text that is no JSON, duplicate keys included, is compared as it is).  Rows with a null
+key or snapshot number are ignored; an empty table gives no rows; so does a single snapshot.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import canonical_key
+from weftgraph.plans.materialize import cut
 
 EPSILON = 1e-6
 
@@ -55,19 +58,24 @@ def edge_states(df: DataFrame) -> DataFrame:
     return df.select("snapshot_no", "delivered_at", *keys, content.alias("content"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
-def snapshot_changes(states: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
-    """``keys``, snapshot_no (the later one) and change, for all pairs in ``first``..``last``."""
+def snapshot_changes(states: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, snapshot_no (the later one) and change, for each snapshot and the next."""
     extra = [c for c in ("content", "confidence") if c in states.columns]
     ok = states.where(F.col("snapshot_no").isNotNull() & F.col(keys[0]).isNotNull()).withColumn("kh", F.xxhash64(*keys))
-
-    def side(shift: int, tag: str) -> DataFrame:
-        pair = (F.col("snapshot_no") + shift).alias("pair")
-        rows = ok.select("kh", *keys, pair, "delivered_at", *extra).where(F.col("pair").between(first + 1, last))
-        w = Window.partitionBy("kh", *keys, "pair").orderBy(F.col("delivered_at").desc_nulls_last(), F.desc("content"))
+    ok = cut(ok, "states")
+    numbers = [r[0] for r in ok.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # one number per delivery
+    following = F.lit(None).cast("int")
+    for older, newer in zip(numbers, numbers[1:]):
+        following = F.when(F.col("snapshot_no") == older, newer).otherwise(following)
+
+    def side(pair: Column, tag: str) -> DataFrame:
+        rows = ok.select("kh", *keys, pair.alias("pair"), "delivered_at", *extra).where(F.col("pair").isNotNull())
+        w = Window.partitionBy("kh", *keys, "pair").orderBy(F.col("delivered_at").desc_nulls_last(), *[F.desc(c) for c in extra])
         kept = rows.withColumn("_before", F.lag(F.lit(1)).over(w)).where("_before is null")
         return kept.select("kh", *keys, "pair", *[F.col(c).alias(f"{tag}_{c}") for c in extra])
 
-    both = side(1, "old").join(side(0, "new"), ["kh", *keys, "pair"], "full_outer")
+    newer = F.when(F.col("snapshot_no") > (numbers[0] if numbers else 0), F.col("snapshot_no"))
+    both = side(following, "old").join(side(newer, "new"), ["kh", *keys, "pair"], "full_outer")
     differs = F.col("old_content") != F.col("new_content")
     if "confidence" in extra:
         differs = differs | (F.abs(F.col("old_confidence") - F.col("new_confidence")) >= EPSILON)
@@ -75,18 +83,12 @@ def snapshot_changes(states: DataFrame, keys: list[str], first: int, last: int)
     return both.select(*keys, F.col("pair").cast("int").alias("snapshot_no"), change.alias("change")).where("change is not null")
 
 
-def _span(df: DataFrame) -> tuple[int, int]:
-    r = df.agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi")).first()
-    return (r["lo"] or 0, r["hi"] or 0)
-
-
 def graph_changes(node_snapshots: DataFrame, edge_snapshots: DataFrame) -> DataFrame:
     """entity, snapshot_no, node_id, edge_type, source_id, target_id, change."""
     none = F.lit("")
     out = []
     for entity, states, keys in (("node", node_states(node_snapshots), ["node_id"]), ("edge", edge_states(edge_snapshots), ["edge_type", "source_id", "target_id"])):
-        lo, hi = _span(node_snapshots if entity == "node" else edge_snapshots)
-        rows = snapshot_changes(states, keys, lo, hi)
+        rows = snapshot_changes(states, keys)
         cols = [(F.col(c) if c in keys else none).alias(c) for c in ("node_id", "edge_type", "source_id", "target_id")]
         out.append(rows.select(F.lit(entity).alias("entity"), "snapshot_no", *cols, "change"))
     return out[0].unionByName(out[1])

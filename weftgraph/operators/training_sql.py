@@ -100,10 +100,11 @@ def _diff(entity: str, table: str, keys: list[tuple[str, str]], content: list[st
     conf = "coalesce(confidence, 1.0)" if near else "1.0"
     return f"""(WITH s AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, {', '.join(names)} ORDER BY delivered_at DESC NULLS LAST) rn
   FROM (SELECT snapshot_no, delivered_at, {picked}, {parts}, {conf} AS conf FROM {table})) WHERE rn = 1),
-  o AS (SELECT * FROM s WHERE snapshot_no < (SELECT max(snapshot_no) FROM s)), n AS (SELECT * FROM s WHERE snapshot_no > (SELECT min(snapshot_no) FROM s))
-  SELECT '{entity}' AS entity, CAST(coalesce(o.snapshot_no + 1, n.snapshot_no) AS INTEGER) AS snapshot_no, {out},
+  order_of AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS following FROM (SELECT DISTINCT snapshot_no FROM s)),
+  o AS (SELECT s.*, following FROM s JOIN order_of USING (snapshot_no) WHERE following IS NOT NULL), n AS (SELECT * FROM s WHERE snapshot_no > (SELECT min(snapshot_no) FROM s))
+  SELECT '{entity}' AS entity, CAST(coalesce(o.following, n.snapshot_no) AS INTEGER) AS snapshot_no, {out},
     CASE WHEN o.rn IS NULL THEN 'added' WHEN n.rn IS NULL THEN 'removed' ELSE 'changed' END AS change
-  FROM o FULL JOIN n ON {eq} AND o.snapshot_no + 1 = n.snapshot_no
+  FROM o FULL JOIN n ON {eq} AND o.following = n.snapshot_no
   WHERE o.rn IS NULL OR n.rn IS NULL OR NOT ({same}) OR abs(o.conf - n.conf) >= 1e-6)"""
 
 
