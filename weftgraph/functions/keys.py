@@ -133,7 +133,7 @@ def resource_key(path: ColumnLike) -> Column:
 
 
 def prefixed(prefix: str, name: ColumnLike) -> Column:
-    """``action:``, ``group:``, ``autoload:``, ``class:``, ``layer:`` and ``nodepath:`` keys."""
+    """``action:``, ``group:``, ``autoload:`` and ``nodepath:`` match keys; the name is trimmed."""
     return F.concat(F.lit(prefix + ":"), trim_ws(name))
 
 
@@ -156,12 +156,18 @@ def scene_node_id(scene: ColumnLike, node_path: ColumnLike) -> Column:
     return F.concat(normalize_path(scene), F.lit("::"), _c(node_path))
 
 
-def extension_id(name: ColumnLike) -> Column:
-    return F.concat(F.lit("ext:"), _c(name))
+def concept_id(prefix: str, name: ColumnLike) -> Column:
+    """``action:``, ``group:``, ``autoload:``, ``class:`` and ``layer:`` ids; the name stays as it is."""
+    return F.concat(F.lit(prefix + ":"), _c(name).cast("string"))
+
+
+def extension_id(path: ColumnLike) -> Column:
+    return F.concat(F.lit("ext:"), normalize_path(path))
 
 
 def doc_id(path: ColumnLike) -> Column:
-    return F.regexp_replace(_c(path), r"^\./", "")
+    """A path relative to the repository, without outer white space and a leading ``./``."""
+    return F.regexp_replace(trim_ws(path), r"^\./", "")
 
 
 def scene_path(parent: ColumnLike, name: ColumnLike) -> Column:

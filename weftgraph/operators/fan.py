@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.keys import canonical_key
 from weftgraph.operators.current import current_rows
 from weftgraph.plans.materialize import cut
-from weftgraph.plans.skew import heavy_keys, spread_left_join
+from weftgraph.plans.skew import left_join
 
 
 def vertices(nodes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -23,12 +23,17 @@ def vertices(nodes: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def links(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """source_id, target_id of every link."""
+    """source_id, target_id of every link, from versioned edges."""
     now = current_rows(edges.select("edge_id", "source_id", "target_id", "loaded_at"), ["edge_id"])
-    pairs = cut(now.select(canonical_key("source_id").alias("source_id"), canonical_key("target_id").alias("target_id")).where("source_id <> target_id").distinct(), "pairs")
+    return valid_links(ids, now.select(canonical_key("source_id").alias("source_id"), canonical_key("target_id").alias("target_id")))
+
+
+def valid_links(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct pairs of different ids in ``edges`` (source_id, target_id) that are both vertices."""
+    pairs = cut(edges.select("source_id", "target_id").where("source_id <> target_id").distinct(), "pairs")
     for end, other in (("source_id", "target_id"), ("target_id", "source_id")):
         there = ids.select(F.col("id").alias(end), F.lit(True).alias("there"))
-        pairs = spread_left_join(pairs, there, end, other, heavy_keys(pairs, end)).where("there").select("source_id", "target_id")
+        pairs = left_join(pairs, there, end, other).where("there").select("source_id", "target_id")
     return pairs
 
 

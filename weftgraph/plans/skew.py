@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans.materialize import cut
+
 SHARE = 0.01
 SALTS = 16
 
@@ -38,3 +40,9 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, h
     copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies))
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+
+
+def left_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """``spread_left_join`` whose heavy keys are those of ``left``, which is written once for both uses."""
+    kept = left if hasattr(left, "_weft_path") else cut(left, "left")
+    return spread_left_join(kept, right, key, spread, heavy_keys(kept, key))
