@@ -191,7 +191,7 @@ def rules_with(names: list[str]) -> tuple[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     name, path = "identity->>'$.name'", "path"
-    norm = lambda c: f"(CASE WHEN {trimmed(c)} = '' OR {trimmed(c)} LIKE 'uid://%' THEN {trimmed(c)} WHEN {trimmed(c)} LIKE 'user://%' THEN 'user://' || {folded(f'substr({trimmed(c)}, 8)')} ELSE 'res://' || {folded(f'''regexp_replace({trimmed(c)}, '^res://', '')''')} END)"
+    norm = lambda c: f"(CASE WHEN {c} IS NULL THEN NULL WHEN {trimmed(c)} = '' OR {trimmed(c)} LIKE 'uid://%' THEN {trimmed(c)} WHEN {trimmed(c)} LIKE 'user://%' THEN 'user://' || {folded(f'substr({trimmed(c)}, 8)')} ELSE 'res://' || {folded(f'''regexp_replace({trimmed(c)}, '^res://', '')''')} END)"
     wild = lambda c: f"coalesce(nullif({trimmed(c)}, ''), '*')"
     owner = "identity->>'$.node_type'"
     out = {
@@ -264,6 +264,9 @@ def oracle_sql() -> dict[str, str]:
         "k_scene_paths": f"WITH {N}, p AS (SELECT id, identity->>'$.parent' AS pa, {name} AS nm FROM n WHERE kind = 'scene_node') SELECT id, CASE WHEN coalesce(pa, '') = '' THEN '.' WHEN pa = '.' THEN nm ELSE pa || '/' || nm END AS node_path FROM p",
         "k_asset_types": f"""WITH {N} SELECT DISTINCT identity->>'$.resource_type' AS resource_type, CASE WHEN identity->>'$.resource_type' IN ('PackedScene', 'Resource') THEN 'loads_resource' WHEN identity->>'$.resource_type' = 'Shader' THEN 'uses_shader'
           WHEN identity->>'$.resource_type' = 'Theme' THEN 'uses_theme' WHEN contains(identity->>'$.resource_type', 'Material') THEN 'uses_material' ELSE 'uses_asset' END AS edge_type FROM n WHERE kind = 'resource' AND identity->>'$.resource_type' IS NOT NULL""",
+        "k5_json": f"""WITH {N}, j AS (SELECT id, CASE WHEN trim(identity) <> '' THEN identity END AS i FROM n)
+          SELECT id, CASE WHEN i IS NOT NULL THEN '{{' || coalesce((SELECT string_agg(to_json(k)::VARCHAR || ':' || json(i->('$."' || k || '"'))::VARCHAR, ',' ORDER BY k) FROM (SELECT unnest(json_keys(i)) AS k)), '') || '}}' END AS canonical FROM j""",
+        "r4_components": f"""WITH RECURSIVE {GRAPH}, {_cycle('l')} SELECT n.id, coalesce(min(b), n.id) AS component_id, greatest(count(DISTINCT b), 1) AS size FROM n LEFT JOIN mates ON a = n.id GROUP BY n.id""",
         "k_unresolved": f"WITH {E} SELECT edge_id, ', unresolved' AS tag FROM e WHERE NOT ok",
     }
     for rule in RULE_SQL:
