@@ -70,19 +70,24 @@ _OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
 
 
 class Token:
-    __slots__ = ("indent", "kind", "line", "nl", "text")
+    __slots__ = ("at", "indent", "kind", "line", "nl", "text")
 
-    def __init__(self, kind: str, text: str, line: int, indent: int, nl: bool):
-        self.kind, self.text, self.line, self.indent, self.nl = kind, text, line, indent, nl
+    def __init__(self, kind: str, text: str, line: int, indent: int, nl: bool, at: int):
+        self.kind, self.text, self.line, self.indent, self.nl, self.at = kind, text, line, indent, nl, at
 
 
 class _Panic(Exception):
     pass
 
 
+def plain_lines(text: str) -> str:
+    """The text as it is parsed: no byte order mark, line feeds only."""
+    return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+
+
 def tokenize(text: str) -> tuple[list[Token], list[Problem]]:
-    """Tokens with the line they are on; ``nl`` marks the first of a line, ``indent`` its depth."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    """Tokens with the line they are on; ``nl`` marks the first of a line, ``indent`` its depth, ``at`` its place in ``plain_lines``."""
+    text = plain_lines(text)
     out: list[Token] = []
     problems: list[Problem] = []
     line, indent, fresh, depth, used = 1, "", True, 0, ""
@@ -111,11 +116,11 @@ def tokenize(text: str) -> tuple[list[Token], list[Problem]]:
                 depth += 1
             elif s in _CLOSE and depth:
                 depth -= 1
-        out.append(Token("kw" if kind == "id" and s in KEYWORDS else kind, s, line, len(indent), fresh))
+        out.append(Token("kw" if kind == "id" and s in KEYWORDS else kind, s, line, len(indent), fresh, m.start()))
         fresh = False
         if kind == "str":
             line += s.count("\n")
-    out.append(Token("end", "", line, 0, True))
+    out.append(Token("end", "", line, 0, True, len(text)))
     return out, problems
 
 
@@ -792,9 +797,33 @@ class Parser:
         return out
 
 
+class SpanParser(Parser):
+    """Also keeps where the expressions stand, for ``source``."""
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        self.text = plain_lines(text)
+        self.spans: dict[int, tuple[int, int]] = {}
+
+    def expression(self, strength: int = 0) -> tuple:
+        begin = self.i
+        node = super().expression(strength)
+        if not strength:
+            self.spans[id(node)] = (self.toks[begin].at, self.toks[self.i - 1].at + len(self.toks[self.i - 1].text))
+        return node
+
+    def source(self, node: tuple) -> str:
+        """The text of an expression that stands by itself (an argument, an operand in brackets)."""
+        a, b = self.spans.get(id(node), (0, 0))
+        return self.text[a:b]
+
+
 def parse(text: str) -> tuple[list, list[Problem]]:
     """The tree of a script and all problems, in order of lines."""
-    p = Parser(text)
+    return parse_with(Parser(text))
+
+
+def parse_with(p: Parser) -> tuple[list, list[Problem]]:
     limit = sys.getrecursionlimit()
     # nesting is no error, however deep: a token opens a bounded number of calls
     sys.setrecursionlimit(max(limit, 20 * len(p.toks) + 1000))

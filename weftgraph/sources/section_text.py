@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 
 from weftgraph.sources.gdscript import Problem
 
@@ -56,20 +57,28 @@ class Parser:
             self.fail(f"expected {mark!r}, found {self.shown()}")
         self.at += 1
 
+    def line(self, at: int) -> int:
+        """The line of a place."""
+        if self.ends is None:
+            self.ends = [m.start() for m in re.finditer("\n", self.text)]
+        return bisect_left(self.ends, at) + 1
+
+    ends: list[int] | None = None
+
     def document(self) -> list:
-        """[(header name, [(attribute, value)], [(key, value)])]"""
+        """[(header name, [(attribute, value)], [(key, value, place)], place)]"""
         out: list = []
         while c := self.skip():
             begun = self.at
             try:
                 if c == "[":
-                    out.append((*self.header(), []))
+                    out.append((*self.header(), [], begun))
                 elif not out and not self.problems:
                     self.fail("expected a section header first")
                 else:
                     pair = self.assignment()
                     if out:
-                        out[-1][2].append(pair)
+                        out[-1][2].append((*pair, begun))
             except _Panic:
                 found = _RESUME.search(self.text, max(self.at, begun + 1))
                 self.at = found.start() if found else len(self.text)
@@ -195,9 +204,12 @@ class Parser:
 
 def parse(text: str, titles: bool = False) -> tuple[list, list[Problem]]:
     """The sections of a text and all problems, in order of lines; ``titles``: section names are free words."""
-    p = Parser(text, titles)
+    return parse_with(Parser(text, titles))
+
+
+def parse_with(p: Parser) -> tuple[list, list[Problem]]:
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 4 * len(re.findall(r"[\[{(]", text)) + 1000))
+    sys.setrecursionlimit(max(limit, 4 * len(re.findall(r"[\[{(]", p.text)) + 1000))
     try:
         return p.document(), sorted(p.problems)
     finally:
