@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import documents, extract
+from weftgraph.operators.integrity import SEVERITIES, Settings
 from weftgraph.plans.materialize import cut
 from weftgraph.project import NODE_COLUMNS, Project
 from weftgraph.sources import discovery
@@ -28,3 +29,18 @@ def analyze(spark: SparkSession, directory: str) -> Project:
         p = documents.with_documents(p, documents.read(kept, globs))
     rows = [("version", version or ""), ("main_scene", main or ""), ("root", "res://")]
     return Project(p.nodes, p.edges, p.boundaries, p.diagnostics, spark.createDataFrame(rows, "key string, value string"))
+
+
+def rule_settings(directory: str) -> Settings:
+    """The integrity settings of a project: rules (enabled, severity, parameters), suppressions, entry scenes."""
+    found = discovery.load_settings(discovery.find_root(directory))
+    rules = {k: v for k, v in (found.get("rules") or {}).items() if isinstance(v, dict)}
+    known = {"max_distance": ("fragile_nodepath", "max_distance"), "large_scene": ("large_scene", "nodes"), "fan_in": ("doc_uncovered_entity", "fan_in")}
+    values = {field: int(rules[rule][key]) for field, (rule, key) in known.items() if key in rules.get(rule, {})}
+    return Settings(
+        disabled=frozenset(k for k, v in rules.items() if v.get("enabled") is False),
+        severity={k: v["severity"] for k, v in rules.items() if v.get("severity") in SEVERITIES},
+        suppress=tuple((str(s["rule"]), str(s["node"])) for s in found.get("suppress") or [] if isinstance(s, dict) and {"rule", "node"} <= s.keys()),
+        entry_scenes=tuple(map(str, found.get("entry_scenes") or ())),
+        **values,
+    )
