@@ -14,7 +14,7 @@ _IDENTITY = "scene string, parent string, extends string, script string, name st
 
 
 def node_links(nodes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node_id, parent_id, block, label) and the class index (name, node_id).
+    """(node_id, parent_id, block, part, label) and the class index (name, node_id).
 
     A scene node names its parent within its scene, a script or a script-less class its base by path
     or class name; a class with a script stands for that script and is no link itself.  Identity that
@@ -33,7 +33,7 @@ def node_links(nodes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFram
     # nodes of one repository, and all that has none, probably belong together
     block = F.coalesce(F.regexp_extract("id", r"^res://([^/]*)/", 1), F.lit(""))
     label = F.coalesce(F.col("i.name"), F.substring_index(F.substring_index(F.col("id"), "::", -1), "/", -1))
-    slim = both.select(F.col("id").alias("node_id"), parent.alias("parent_id"), F.when(is_alias, script).alias("stands_for"), block.alias("block"), label.alias("label"), F.col("removed_at").isNotNull().alias("gone"), "loaded_at")
+    slim = both.select(F.col("id").alias("node_id"), parent.alias("parent_id"), F.when(is_alias, script).alias("stands_for"), block.alias("block"), F.substring_index("id", "::", 1).alias("part"), label.alias("label"), F.col("removed_at").isNotNull().alias("gone"), "loaded_at")
     live = current_rows(slim, ["node_id"]).where("not gone").drop("gone", "loaded_at")
     live = cut(live, "live")
     index = live.where("stands_for is not null").select(F.col("node_id").alias("name"), F.col("stands_for").alias("node_id"))

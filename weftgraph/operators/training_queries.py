@@ -23,7 +23,7 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """ancestor_id, node_id, distance: all descendants of every node, as rows."""
-    return node_hierarchy(table(spark, d, "nodes"), table(spark, d, "shared_nodes"), with_paths=True).descendants()
+    return node_hierarchy(table(spark, d, "nodes"), table(spark, d, "shared_nodes")).descendants()
 
 
 def _referring(spark: SparkSession, d: str) -> list[DataFrame]:
