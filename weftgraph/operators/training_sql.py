@@ -82,6 +82,18 @@ judged AS (SELECT r.src_table, r.row_id, r.observed_at, (n.id IS NULL OR coalesc
 P2_FOUND = f"WITH {_refs()} SELECT src_table, row_id FROM judged WHERE orphan"
 P2_REPORT = f"WITH {_refs()} SELECT src_table, strftime(observed_at, '%Y-%m') AS month, count(*) AS n_references, count(*) FILTER (WHERE orphan) AS n_orphans FROM judged GROUP BY 1, 2"
 
+_NO = "(year(loaded_at) * 12 + month(loaded_at))"
+P2_SNAPSHOTS = f"""WITH vr AS (SELECT 'edges' AS src_table, edge_id AS row_id, {canonical('target_id')} AS k, observed_at, loaded_at, {_NO} AS m FROM edges
+    UNION ALL SELECT 'boundaries', boundary_id, {canonical('match_key')}, observed_at, loaded_at, {_NO} FROM boundaries),
+  vp AS (SELECT id, added_at, removed_at, loaded_at, {_NO} AS m FROM nodes UNION ALL SELECT id, added_at, removed_at, loaded_at, {_NO} FROM shared_nodes),
+  span AS (SELECT min(m) AS lo, max(m) AS hi FROM (SELECT m FROM vr UNION ALL SELECT m FROM vp)),
+  ks AS (SELECT unnest(generate_series(1, hi - lo + 1)) AS k, lo FROM span),
+  r AS (SELECT ks.k AS batch_no, vr.* FROM ks JOIN vr ON coalesce(vr.m - ks.lo + 1, 1) <= ks.k QUALIFY row_number() OVER (PARTITION BY ks.k, src_table, row_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+  p AS (SELECT ks.k AS batch_no, vp.* FROM ks JOIN vp ON coalesce(vp.m - ks.lo + 1, 1) <= ks.k QUALIFY row_number() OVER (PARTITION BY ks.k, id ORDER BY loaded_at DESC NULLS LAST) = 1)
+  SELECT r.src_table, strftime(r.observed_at, '%Y-%m') AS month, count(*) AS n_references,
+    count(*) FILTER (WHERE p.id IS NULL OR coalesce(p.added_at > r.observed_at, false) OR coalesce(p.removed_at <= r.observed_at, false)) AS n_orphans, CAST(r.batch_no AS INTEGER) AS batch_no
+  FROM r LEFT JOIN p ON p.id = r.k AND p.batch_no = r.batch_no WHERE r.k IS NOT NULL AND r.k <> '' AND NOT regexp_matches(r.k, '^(signal:|nodepath:|rpc:|user://|uid://)') GROUP BY 1, 2, 5"""
+
 _ENDS = f"""cur AS MATERIALIZED (SELECT type, origin, observed_at, {canonical('source_id')} AS s, {canonical('target_id')} AS t FROM (
   SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY loaded_at DESC NULLS LAST) rn FROM edges) WHERE rn = 1),
 ends AS (SELECT 'source' AS endpoint, s AS key_id, type, origin, observed_at FROM cur UNION ALL SELECT 'target', t, type, origin, observed_at FROM cur)"""
@@ -118,4 +130,4 @@ P4_FOUND = (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p3_keys": P3_KEYS, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_snapshots": P2_SNAPSHOTS, "p3_found": P3_FOUND, "p3_keys": P3_KEYS, "p4_found": P4_FOUND}

@@ -50,6 +50,44 @@ def drop(df: DataFrame | None) -> None:
         _written.pop(path, None)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for state of several tables; deleted when the process ends."""
+    path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any Hadoop file system; null if there is none."""
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: readers see the old text or the new one."""
+    jvm = spark._jvm
+    where, fs = _file_system(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    options[0] = jvm.java.lang.Enum.valueOf(kind, "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, where, options)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import __version__
 from weftgraph.operators.integrity import SCHEMA as FINDING_SCHEMA
+from weftgraph.plans.materialize import read_text, replace_text
 from weftgraph.project import BOUNDARY_SCHEMA, DIAGNOSTIC_SCHEMA, EDGE_SCHEMA, NODE_SCHEMA, Project
 
 SCHEMA_VERSION = 2
@@ -69,14 +70,7 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _current(self) -> str | None:
-        at = self._at("CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+        return read_text(self.spark, f"{self.path}/CURRENT")
 
     def save(self, p: Project, findings: DataFrame | None = None) -> None:
         """Replace what is stored by ``p``; rows are laid out in the order of their ids."""
@@ -90,14 +84,7 @@ class Store:
         own = {"schema_version": str(SCHEMA_VERSION), "tool_version": __version__, "analyzed_at": f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"}
         meta = {r["key"]: r["value"] for r in p.meta.collect()} if p.meta is not None else {}  # a handful of rows
         self.spark.createDataFrame(sorted((meta | own).items()), "key string, value string").coalesce(1).write.parquet(f"{self.path}/snapshots/{name}/meta")
-        fresh = self._at(f"CURRENT-{name}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = self._jvm.java.lang.Enum.valueOf(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(fresh, self._at("CURRENT"), options)
+        replace_text(self.spark, f"{self.path}/CURRENT", name)
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("snapshots")))
         for old in [n for n in names if n < name][: -(KEPT - 1) or None]:
             self._fs.delete(self._at(f"snapshots/{old}"), True)
