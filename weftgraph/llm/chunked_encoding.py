@@ -2,41 +2,45 @@
 
 A rolling hash over the last 16 code points cuts every text where its low bits are zero, so equal
 passages of different documents fall into equal chunks.  A worker encodes each distinct chunk once
-and keeps it by content.  Chunk ids alone are wrong near the cuts: a pre-token may cross a cut, and
-the pattern looks one character ahead.  So each join is repaired: the last two pre-tokens of the left
-chunk and the first four of the right one are split again; from the first boundary that both the new
-and the right chunk's own split agree on - and that no character beyond the window can move - the
-right chunk's ids hold.  Repairs are kept by content, too.  If no boundary agrees, or chunks are too
-short to judge, they are merged and encoded again, in the last resort the whole text; so the result
-equals that of encoding the whole text, which the tests check.
+and keeps it by content.  Chunk ids alone are wrong near the cuts, as a pre-token may cross a cut.  So a
+chunk is encoded between its first and its last *agreed place*, and each join is repaired: the text from
+the last agreed place of the left chunk to the first of the right one is encoded anew, over as many
+chunks as have none.  Repairs are kept by content, too.  The result equals that of encoding the whole
+text, which the tests check.
 
 Why the repair is exact: the pattern matches from left to right and depends on nothing before the
-place it is at, so two splits that share a boundary agree from there on, as long as no match looks
-past the end of its text.  A match that ends at e looks at most at the character e+1; boundaries with
-e+2 characters or more of text are final.
+place it is at, so two splits that share a boundary agree from there on.  An agreed place is one where
+every split has a boundary, whatever stands around it: white space after something that is none (no
+alternative of the pattern goes on from other characters to white space), or a full-width mark after a
+Chinese character.  What ends there ends there with the text, too, as the only look-ahead of the
+pattern is that of white space, and a piece that ends before white space ends with none.
 
 There is no shuffle: documents are encoded where they are read, and what is kept is bounded per
-worker (clearing it costs time, never changes a result).  Defined results: null and empty texts have
-no ids; texts with code points that the splitting libraries class differently are encoded whole.
+worker (the oldest half goes when it is full; that costs time, never changes a result).  Defined results:
+null and empty texts have no ids.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.tokenizers import PATTERN, byte_bpe, folder
+from weftgraph.llm.tokenizers import byte_bpe, folder
 
 WINDOW_BITS = 4  # the hash covers 2**4 code points
-MASK_BITS = 6  # a cut after one of 2**6 positions
-HEAD, TAIL, LEAST = 4, 2, 7  # pre-tokens kept from the ends of a chunk; fewer than LEAST are merged
-KEPT = 120_000  # chunks and repairs a worker keeps
-LONGEST = 8192  # code points that may be merged before the whole text is encoded instead
+MASK_BITS = 8  # a cut after one of 2**8 positions
+KEPT = 60_000  # chunks, and repairs, that a worker keeps
+NEAR = 60  # code points from the end in which the last agreed place is looked for first
+
+#: Agreed places: a blank or line feed after a character that is surely no white space, a full-width mark after a Chinese character.
+_AGREED = re.compile("(?<=[!-~À-ɏΑ-ωЀ-ӿ一-鿿])[ \n]|(?<=[一-鿿])[，。！？；：、]")
 
 
 def cut_points(codes: np.ndarray) -> np.ndarray:
@@ -67,124 +71,59 @@ class ChunkEncoder:
         return cls._by_name[name, path]
 
     def __init__(self, name: str, path: str):
-        import regex
-        import tiktoken
-
         self.whole = byte_bpe(name, path).encode_ordinary
-        self.split = regex.compile(PATTERN).findall
-        # where the two regex engines disagree about letters, digits or spaces, no reuse
-        single = {bytes([i]): i for i in range(256)}
-        probe = "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c <= 0xDFFF)
-        odd: set[str] = set()
-        for kind in (r"\p{L}", r"\p{N}", r"\s"):
-            enc = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={})
-            odd |= set(bytes(enc.encode_ordinary(probe)).decode()) ^ set(regex.findall(kind, probe))
-        ranges, last = [], None
-        for c in sorted(map(ord, odd)):
-            if last is not None and c == ranges[-1][1] + 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-            last = c
-        body = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-        import re
-
-        self.unsafe = re.compile(f"[{body}\\U00020000-\\U0010ffff]").search
-        self.pieces: dict[str, array] = {}
         self.chunks: dict[str, tuple | None] = {}
-        self.joins: dict[tuple[str, str], tuple | None] = {}
+        self.joins: dict[str, array] = {}
 
-    def _piece(self, p: str) -> array:
-        ids = self.pieces.get(p)
-        if ids is None:
-            if len(self.pieces) > KEPT:
-                self.pieces.clear()
-            ids = self.pieces[p] = array("i", self.whole(p))
-        return ids
+    @staticmethod
+    def _room(kept: dict) -> None:
+        if len(kept) > KEPT:
+            for key in list(islice(kept, len(kept) // 2)):
+                del kept[key]
 
     def _chunk(self, s: str) -> tuple | None:
-        """(ids, where the tail's ids begin, tail text, head text, [(offset, ids before it)])."""
-        if s in self.chunks:
-            return self.chunks[s]
-        if len(self.chunks) > KEPT:
-            self.chunks.clear()
-        pre = self.split(s)
-        if len(pre) < LEAST:
-            self.chunks[s] = None
+        """(text before the first agreed place, ids up to the last one, text after it); null without two such places."""
+        first = _AGREED.search(s)
+        if first is None:
             return None
-        ids, marks, at = array("i"), [], 0
-        for j, p in enumerate(pre[:-TAIL]):
-            if j < HEAD:
-                marks.append((at, len(ids)))
-                at += len(p)
-            ids += self._piece(p)
-        tail_at = len(ids)
-        for p in pre[-TAIL:]:
-            ids += self._piece(p)
-        out = self.chunks[s] = (ids, tail_at, "".join(pre[-TAIL:]), "".join(pre[:HEAD]), marks)
-        return out
-
-    def _join(self, tail: str, head: str, marks: list) -> tuple | None:
-        """(ids from the left chunk's tail on, how many ids of the right chunk they replace)."""
-        key = (tail, head)
-        if key in self.joins:
-            return self.joins[key]
-        if len(self.joins) > KEPT:
-            self.joins.clear()
-        text = tail + head
-        ends, at = {0: 0}, 0
-        pre = self.split(text)
-        for j, p in enumerate(pre):
-            at += len(p)
-            ends[at] = j + 1
-        found = None
-        for offset, skipped in marks:
-            e = len(tail) + offset
-            if e in ends and e + 2 <= len(text):
-                ids = array("i")
-                for p in pre[: ends[e]]:
-                    ids += self._piece(p)
-                found = (ids, skipped)
+        begin, end = first.start(), -1
+        for at in (max(len(s) - NEAR, begin + 1), begin + 1):
+            for m in _AGREED.finditer(s, at):
+                end = m.start()
+            if end >= 0:
                 break
-        self.joins[key] = found
-        return found
-
-    def encode(self, text: str, pieces: list[str]) -> array:
-        """Ids of ``text``, which ``pieces`` add up to."""
-        if len(pieces) < 2 or self.unsafe(text):
-            return array("i", self.whole(text))
-        done: list[tuple[str, tuple]] = []
-        rest = ""
+        if end < 0:
+            return None
+        return s[:begin], array("i", self.whole(s[begin:end])), s[end:]
+
+    def encode(self, pieces: list[str]) -> array:
+        """Ids of the text that ``pieces`` add up to."""
+        if len(pieces) == 1:
+            return array("i", self.whole(pieces[0]))
+        chunks, joins = self.chunks, self.joins
+        out, pending = array("i"), ""
         for p in pieces:
-            s = rest + p if rest else p
-            chunk = self._chunk(s)
-            if chunk is None:
-                if len(s) > LONGEST:
-                    return array("i", self.whole(text))
-                rest = s
-            else:
-                done.append((s, chunk))
-                rest = ""
-        if rest:
-            if not done:
-                return array("i", self.whole(text))
-            s = done.pop()[0] + rest
-            chunk = self._chunk(s)
+            chunk = chunks.get(p, 0)
+            if chunk == 0:
+                self._room(chunks)
+                chunk = chunks[p] = self._chunk(p)
             if chunk is None:
-                return array("i", self.whole(text))
-            done.append((s, chunk))
-        left = done[0][1]
-        out = left[0][: left[1]]
-        for _, right in done[1:]:
-            fixed = self._join(left[2], right[3], right[4])
-            if fixed is None:
-                return array("i", self.whole(text))
-            out += fixed[0]
-            out += right[0][fixed[1] : right[1]]
-            left = right
-        out += left[0][left[1] :]
+                pending += p
+                continue
+            head, ids, tail = chunk
+            out += self._join(joins, pending + head)
+            out += ids
+            pending = tail
+        out += self._join(joins, pending)
         return out
 
+    def _join(self, joins: dict[str, array], text: str) -> array:
+        ids = joins.get(text)
+        if ids is None:
+            self._room(joins)
+            ids = joins[text] = array("i", self.whole(text))
+        return ids
+
     def encode_all(self, texts: list[str | None]) -> Iterator[array]:
         """Ids of each text, in order."""
         known = [t or "" for t in texts]
@@ -205,7 +144,7 @@ class ChunkEncoder:
             for stop in stops:
                 pieces.append(joined[at:stop])
                 at = stop
-            yield self.encode(t, pieces)
+            yield self.encode(pieces)
 
 
 def encode_column(df: DataFrame, tokenizer: str = "byte_bpe_50k", path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,12 +13,14 @@ largest first, as if each were one item.  That step sees ``open_bins`` rows per
 An item longer than the capacity, and only such an item, is split: into full containers and a rest.
 Defined results: null and empty texts are items of no tokens and get a container like any other;
 repeated rows are items of their own; an empty table gives no rows; a specification with a null or
-non-positive capacity is left out.
+non-positive capacity is left out.  Which container an item gets depends on how the files are split into
+tasks; that all have one, and none is too full, does not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,6 @@ from weftgraph.plans.materialize import cut
 
 OPEN_BINS = 64
 LANES = 64
-REUSED = "byte_bpe_50k"  # tokenizers that the chunk encoder takes end in .tiktoken; see token_counts
 
 _PLACED = "spec_id int, doc_id long, piece_no int, n_tokens int, lane long, bin long, open_used int"
 
@@ -78,18 +79,20 @@ class BestFit:
         return [(b, self.capacity - f) for f, bins in self.by_free.items() for b in bins]
 
 
-def token_counts(texts: list[str | None], tokenizer: str, path: str) -> list[int]:
-    try:
+def counter(tokenizer: str, path: str) -> Callable[[list[str | None]], list[int]]:
+    """What counts the tokens of texts: the chunk encoder for byte-level vocabularies, else the tokenizer itself."""
+    if os.path.exists(f"{path}/{tokenizer}.tiktoken"):
         encoder = ChunkEncoder.get(tokenizer, path)
-    except FileNotFoundError:
-        return [len(x) for x in whole_text_encoder(tokenizer, path)([t or "" for t in texts])]
-    return [len(x) for x in encoder.encode_all(texts)]
+        return lambda texts: [len(x) for x in encoder.encode_all(texts)]
+    encode = whole_text_encoder(tokenizer, path)
+    return lambda texts: [len(x) for x in encode([t or "" for t in texts])]
 
 
 def _pack_partition(specs: list[tuple[int, str, int]], path: str, space: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane = TaskContext.get().partitionId()
         fits = {s: BestFit(cap, space) for s, _, cap in specs}
+        counters = {t: counter(t, path) for t in {t for _, t, _ in specs}}
 
         def batch(cols: list[list]) -> pa.RecordBatch:
             types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
@@ -98,7 +101,7 @@ def _pack_partition(specs: list[tuple[int, str, int]], path: str, space: int):
 
         for part in batches:
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            counts = {t: token_counts(texts, t, path) for t in {t for _, t, _ in specs}}
+            counts = {t: count(texts) for t, count in counters.items()}
             for s, tokenizer, cap in specs:
                 place = fits[s].place
                 docs, pieces, sizes, bins = [], [], [], []
