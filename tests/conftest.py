@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from weftgraph.session import local_session
 
-    session = local_session(2, 2, **{"spark.driver.memory": "2g"})
+    session = local_session(8, 3, **{"spark.driver.memory": "4g"})
     yield session
     session.stop()

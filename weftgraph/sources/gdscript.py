@@ -4,6 +4,10 @@ Statements are parsed by recursive descent, expressions by precedence climbing.
 and the parser skips to the next line that starts a statement (panic mode), so one file can report
 several errors; the tree of what could be read is kept.
 
+The language is that of the engine's version 4.  Spellings of version 3 (``export var``, ``onready var``,
+``tool``, ``setget``, ``remote func``) are read, too, and are no errors; names of types are not judged, nor
+what only a later pass knows: unknown names, a ``break`` outside of a loop, two ``class_name``.
+
 Tree nodes are tuples ``(kind, line, ...)``:
 
   expressions  name(text) str(text) num(text) nodepath(text) unique(text) attr(object, name)
@@ -51,6 +55,8 @@ KEYWORDS = frozenset(
 )
 _OPS = ("**=", "<<=", ">>=", "...", "**", "->", ":=", "==", "!=", "<=", ">=", "&&", "||", "<<", ">>", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "..", *"()[]{},:;.+-*/%&|^~<>=!@")
 ASSIGN = frozenset(("=", "+=", "-=", "*=", "/=", "**=", "%=", "&=", "|=", "^=", "<<=", ">>="))
+#: Annotations that belong to the script and need nothing after them.
+ALONE = frozenset(("tool", "icon", "static_unload", "abstract", "warning_ignore", "warning_ignore_start", "warning_ignore_restore"))
 #: Binding strength of binary operators, weakest first.
 BINARY = {"or": 2, "||": 2, "and": 3, "&&": 3, "in": 5, "==": 6, "!=": 6, "<": 6, ">": 6, "<=": 6, ">=": 6, "|": 7, "^": 8, "&": 9, "<<": 10, ">>": 10, "+": 11, "-": 11, "*": 12, "/": 12, "%": 12, "**": 14}
 _NOT, _SIGN, _TERNARY, _CAST = 4, 13, 1, 0
@@ -59,7 +65,7 @@ _TOKEN = re.compile(
     r"""(?P<ws>(?:[ \t]|\\\n)+)|(?P<com>\#[^\n]*)|(?P<nl>\n)
     |(?P<str>[r&^]?(?:\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))
     |(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|\d[\d_]*\.\d[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*(?:[eE][+-]?\d+|\.(?![.\w]))?)
-    |(?P<path>\$(?:"[^"\n]*"|'[^'\n]*'|(?:\.\.|%?[^\W\d]\w*)(?:/(?:\.\.|%?[^\W\d]\w*))*))
+    |(?P<path>\$(?:"[^"\n]*"|'[^'\n]*'|/?(?:\.\.|%?[^\W\d]\w*)(?:/(?:\.\.|%?[^\W\d]\w*))*))
     |(?P<id>[^\W\d]\w*)
     |(?P<op>"""
     + "|".join(re.escape(o) for o in _OPS)
@@ -198,7 +204,10 @@ class Parser:
     # -- blocks ------------------------------------------------------------------------------
 
     def module(self) -> list:
-        return self.suite(-1, self.member)
+        tree = self.suite(-1, self.member)
+        if tree and tree[-1][0] == "annotation" and tree[-1][2] not in ALONE:
+            self.problems.append(Problem(tree[-1][1], f"nothing follows the annotation {tree[-1][2]!r}"))
+        return tree
 
     def suite(self, outer: int, parse) -> list:
         """Statements of one depth, deeper than ``outer``."""
