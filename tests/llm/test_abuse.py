@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from weftgraph.llm import abuse
 
 
@@ -38,3 +42,23 @@ def test_a_case_spelled_with_blanks_is_found():
     for text in ("Zorblak fendrik quop.", "Z o r b l a k f e n d r i k q u o p.", "Zorblak f e n d r i k quop."):
         assert p(text) >= abuse.THRESHOLD
     assert p("The weather is m i l d.") < abuse.THRESHOLD
+
+
+def test_thresholds_keep_their_distance():
+    model = abuse.train(rated(200))
+    assert all(b - a >= abuse.GAP - 1e-9 for a, b in zip(model.theta, model.theta[1:]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_l/documents.parquet"), reason="no large test tables")
+def test_ratings_kept_out_of_the_fit_are_met(spark):
+    """A fifth of the rated documents is kept out; ratings are the measure, though some of them are wrong."""
+    d = "/root/testdata/check_l"
+    rows = abuse.rated_documents(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/doc_labels.parquet"))
+    model = abuse.train([r for i, r in enumerate(rows) if i % 5])
+    v = model.vocabulary()
+    hit = both = positive = 0
+    for text, grade in rows[::5]:
+        found = [model.above(model.linear(abuse.features_of(abuse.words_of(p, v))))[0] for p in abuse.passages(text or "")]
+        case = max(found, default=0) >= abuse.THRESHOLD
+        hit, both, positive = hit + case, both + (case and grade > 0), positive + (grade > 0)
+    assert both / positive > 0.6 and both / hit > 0.9

@@ -16,7 +16,8 @@ P(grade > 0) of a passage reaches ``THRESHOLD``.
 hash of doc_id): first the documents as bags, then, as only one passage of a rated document is
 abusive as a rule, the passages: of an abusive document the worst passage counts, of others all.
 Wrong ratings show as documents that the model of the last round firmly contradicts; they are left
-out of the next.  The weight table is bounded (``MAX_FEATURES``) and goes to the workers with the task.
+out of the next.  The weight table holds the telling features of the sample and those beside them, so it is
+bounded by the sample; it goes to the workers with the task.
 
 *Scoring* reads every document once, without a shuffle; equal passages are scored once per worker.
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATED = 12_000
-MAX_FEATURES = 200_000
+GAP = 0.05  # least distance of two thresholds: a grade without room has no likelihood
 THRESHOLD = 0.5
 TELLING = 0.5  # rate from which on a feature counts as telling
 PRIOR = 2.0  # documents of the average rate that every feature is drawn towards, at every size; chosen on held-out rated documents
@@ -216,7 +217,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, importance: np.ndarr
         gw += grad**2
         gt += tg**2
         w = w + step * grad / np.sqrt(gw)
-        theta = np.maximum.accumulate(theta + step * tg / np.sqrt(gt))
+        spread = GAP * np.arange(len(theta))
+        theta = np.maximum.accumulate(theta + step * tg / np.sqrt(gt) - spread) + spread
     return w, theta
 
 
@@ -267,7 +269,7 @@ def train(rated: list[tuple[str, int]], rounds: int = 2) -> OrdinalModel:
                 if not telling.keys().isdisjoint(fs):
                     beside.update(fs)
     context = [f for f, n in beside.most_common() if n >= 2 and f not in telling and n > 0.3 * anywhere[f]]
-    kept = [*sorted(telling, key=lambda f: (-telling[f] * bad[f], f))[: MAX_FEATURES // 2], *context[: MAX_FEATURES // 2]]
+    kept = [*sorted(telling, key=lambda f: (-telling[f] * bad[f], f)), *context]
     index = {f: i for i, f in enumerate(kept)}
 
     suspect = {i for i, ps in enumerate(split) if grades[i] and suspicion_of(ps, suspicion) <= 0}
