@@ -25,7 +25,7 @@ def test_the_fullest_bin_closes_when_the_new_one_stays_open():
 @pytest.mark.parametrize("capacity", [5, 32, 1000])
 def test_every_token_is_placed_and_no_container_overflows(spark, capacity, monkeypatch):
     monkeypatch.setattr(packing, "folder", lambda path: path)
-    monkeypatch.setattr(packing, "token_counts", lambda texts, tokenizer, path: [len((t or "").split()) for t in texts])
+    monkeypatch.setattr(packing, "counter", lambda tokenizer, path: lambda texts: [len((t or "").split()) for t in texts])
     sizes = [0, 1, 5, 7, 32, 64, 33, 12, 3, 900, 2, 2] * 6
     docs = [(i, " ".join(["w"] * n) if i else None, "extra") for i, n in enumerate(sizes)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, other string")
