@@ -53,11 +53,14 @@ DOCK = """[gd_scene load_steps=4 format=3 uid="uid://dock1"]
 
 [sub_resource type="AtlasTexture" id="s1"]
 atlas = ExtResource("3_sail")
+[sub_resource type="Animation" id="s2"]
+tracks/0/path = NodePath("Hull:rotation")
 
 [node name="Dock" type="Node2D"]
 script = ExtResource("1_boat")
 draft = 2.5
 crew_size = "many"
+collision_layer = 5
 
 [node name="Hull" type="Sprite2D" parent="." groups=["crew", "wet"]]
 texture = ExtResource("3_sail")
@@ -123,6 +126,7 @@ func steer(n: int = 0):
 
 @rpc("any_peer")
 static func ping(): steer()
+func wave(): pass
 '''
 FILES = {
     "project.godot": SETTINGS, "world/dock.tscn": DOCK, "world/buoy.tscn": BUOY, "fx/foam.tres": FOAM, "fx/foam.gdshader": "", "art/sail.png": "", "art/sail.png.import": SAIL_IMPORT,
@@ -184,20 +188,22 @@ def test_files_and_settings(project):
 def test_scene(project):
     n = nodes(project)
     d = "res://world/dock.tscn"
-    assert n[f"{d}::."] == ("scene_node", 11, {"name": "Dock", "scene": d, "node_type": "Node2D", "root": True, "script": "res://boats/boat.gd"}, {})
+    assert n[f"{d}::."] == ("scene_node", line_of(DOCK, '[node name="Dock"'), {"name": "Dock", "scene": d, "node_type": "Node2D", "root": True, "script": "res://boats/boat.gd"}, {})
     assert n[f"{d}::Hull/Rope"][2] == {"name": "Rope", "scene": d, "node_type": "Line2D", "parent": "Hull"}
     assert n[f"{d}::Buoy"][2]["instance"] == "res://world/buoy.tscn"  # by uid
-    assert edges(project, "attaches_script") == [(f"{d}::.", "res://boats/boat.gd", "editor", True, 12, "{}")]
-    assert edges(project, "instances") == [(d, "res://world/buoy.tscn", "editor", True, 22, '{"editable": true, "node": "Buoy"}')]
+    assert edges(project, "attaches_script") == [(f"{d}::.", "res://boats/boat.gd", "editor", True, line_of(DOCK, "script ="), "{}")]
+    assert edges(project, "instances") == [(d, "res://world/buoy.tscn", "editor", True, line_of(DOCK, '[node name="Buoy"'), '{"editable": true, "node": "Buoy"}')]
     assert [(s, t) for s, t, o, *_ in edges(project, "in_group") if o == "editor"] == [(f"{d}::Hull", "group:crew"), (f"{d}::Hull", "group:wet")]
-    assert [e for e in edges(project, "references_node") if e[2] == "editor"] == [(f"{d}::Hull", "nodepath:../Mast", "editor", False, 18, '{"path": "../Mast", "property": "layers"}')]
+    assert [e for e in edges(project, "references_node") if e[2] == "editor" and "::" in e[0]] == [(f"{d}::Hull", "nodepath:../Mast", "editor", False, line_of(DOCK, "layers ="), '{"path": "../Mast", "property": "layers"}')]
+    assert [(s, t) for s, t, *_ in edges(project, "animates")] == [(d, "nodepath:Hull")] and [(s, t) for s, t, *_ in edges(project, "uses_layer")] == [(f"{d}::.", "layer:1"), (f"{d}::.", "layer:3")]
     assert [(s, t) for s, t, *_ in edges(project, "uses_asset")] == [(d, "res://art/sail.png")] * 2
     assert [(s, t) for s, t, *_ in edges(project, "uses_material")] == [(d, "res://fx/foam.tres")] and [(s, t) for s, t, *_ in edges(project, "uses_shader")] == [("res://fx/foam.tres", "res://fx/foam.gdshader")]
     assert edges(project, "imports") == [("res://art/sail.png", "res://art/sail.png.import", "config", True, 0, '{"importer": "texture", "type": "CompressedTexture2D"}')]
+    assert [(p[1], p[2]) for p in points(project, "group_target")] == [("res://boats/boat.gd::wave", "group:crew")]
     got = [e for e in edges(project, "connects_signal") if e[2] == "editor"]
     assert [(s, t, r) for s, t, _, r, *_ in got] == [(f"{d}::Hull", "res://boats/boat.gd::_on_hull_ready", True), (f"{d}::Nowhere", "signal:*:gone", False)]
     assert json.loads(got[0][5])["flags"] == 3 and "flags" not in json.loads(got[1][5])
-    assert points(project, "editor_connection") == [("ingress", "", "signal:*:gone", 25), ("ingress", "res://boats/boat.gd::_on_hull_ready", "signal:Sprite2D:ready", 24)]
+    assert points(project, "editor_connection") == [("ingress", "", "signal:*:gone", line_of(DOCK, '[connection signal="gone"')), ("ingress", "res://boats/boat.gd::_on_hull_ready", "signal:Sprite2D:ready", line_of(DOCK, '[connection signal="ready"'))]
 
 
 def test_script(project):

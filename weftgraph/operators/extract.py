@@ -42,6 +42,9 @@ FILE_RECEIVERS = ("FileAccess", "ConfigFile", "DirAccess")
 VIRTUALS = ("_init", "_ready", "_enter_tree", "_exit_tree", "_process", "_physics_process", "_draw", "_get_configuration_warnings", "_to_string", "_integrate_forces", "_get", "_set", "_get_property_list")
 INPUT_HANDLERS = ("_input", "_unhandled_input", "_unhandled_key_input", "_gui_input", "_shortcut_input")
 
+#: Properties whose bits name layers.
+LAYER_PROPERTIES = ("collision_layer", "collision_mask", "light_mask", "visibility_layer", "layers", "navigation_layers", "light_cull_mask")
+
 #: Parsers by extension; more languages may be added.
 PARSERS = {
     "gd": script_facts.facts,
@@ -113,22 +116,28 @@ def _owner() -> Column:
 
 
 def calls(facts: DataFrame, rules: list[tuple] = CALL_RULES) -> DataFrame:
-    """file, seq, line, owner_id, does, literal, raw, before, emitter of the calls that mean something, or stay ``other``."""
+    """file, seq, line, owner_id, does, literal, raw, next, before, emitter of the calls that mean something.
+
+    ``literal`` is the argument that counts if it is a string, ``raw`` its source if not, ``next`` the string after it.
+    """
     spark = facts.sparkSession
     table = F.broadcast(spark.createDataFrame(rules, "a string, b string, arg int, does string"))  # a setting of some twenty rows
     rows = facts.where("fact = 'call'").join(table, ["a", "b"], "left")
     by_head = F.when((F.col("c") == "Input") & F.col("b").isin(*ACTION_METHODS), "action").when(F.col("c").isin(*FILE_RECEIVERS), "file")
     does = F.coalesce(F.col("does"), F.when(F.col("a") == "attr", by_head).otherwise("local"))
     arg = F.coalesce("arg", F.lit(0))
-    nth = lambda k: F.when(arg == 0, F.get_json_object("e", f"$[0].{k}")).when(arg == 1, F.get_json_object("e", f"$[1].{k}"))
+    nth = lambda k, after=0: F.when(arg == 0, F.get_json_object("e", f"$[{after}].{k}")).when(arg == 1, F.get_json_object("e", f"$[{1 + after}].{k}"))
     return rows.select(
-        "file", "seq", "line", "owner", _owner().alias("owner_id"), F.col("b").alias("method"), F.col("c").alias("head"), does.alias("does"), nth("s").alias("literal"), F.coalesce(nth("x"), F.lit("")).alias("raw"),
+        "file", "seq", "line", "owner", _owner().alias("owner_id"), F.col("b").alias("method"), F.col("c").alias("head"), does.alias("does"), nth("s").alias("literal"), F.coalesce(nth("x"), F.lit("")).alias("raw"), nth("s", 1).alias("next"),
         F.get_json_object("d", "$[0]").alias("before"), F.get_json_object("d", "$[1]").alias("emitter"),
     ).where("does is not null and (does <> 'load_from' or head = 'ResourceLoader')")
 
 
-def script_parts(facts: DataFrame, known: DataFrame, autoloads: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(edges, boundary points) of scripts.  ``known``: path of every file; ``autoloads``: name."""
+def script_parts(facts: DataFrame, known: DataFrame, autoloads: DataFrame, groups_in_scenes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(edges, boundary points) of scripts.
+
+    ``known``: path of every file; ``autoloads``: name; ``groups_in_scenes``: file (of a script), group of the nodes that it is attached to.
+    """
     edges, points = [], []
     file, me = F.col("file"), F.col("owner_id")
     there = known.select(F.col("path").alias("want"), F.lit(True).alias("there")).distinct()
@@ -173,6 +182,11 @@ def script_parts(facts: DataFrame, known: DataFrame, autoloads: DataFrame) -> tu
     groups = of("group").where(static)
     edges.append(_edge(groups, "calls_group", me, keys.concept_id("group", "literal"), "code", True, _json(group=F.col("literal"))))
     points.append(_point(groups, "egress", "group_call", me, keys.prefixed("group", "literal"), _json(group=F.col("literal"))))
+    # the methods that a group call names, in the files that join the group
+    joined = of("join").where(static).select("file", F.col("literal").alias("group")).unionByName(groups_in_scenes).distinct()
+    asked = groups.where("method in ('call_group', 'call_group_flags') and next is not null").select(F.col("literal").alias("group"), F.col("next").alias("a")).distinct()
+    targets = fun.join(joined.join(asked, "group").distinct(), ["file", "a"])
+    points.append(_point(targets, "ingress", "group_target", me, keys.prefixed("group", "group"), _json(group=F.col("group"), method=F.col("a"))))
     rpc = of("rpc").where(static)
     edges.append(_edge(rpc, "rpc_call", me, keys.rpc_key(F.lit("*"), "literal"), "code", False, _json(method=F.col("literal"))))
     points.append(_point(rpc, "egress", "rpc_call", me, keys.rpc_key(F.lit("*"), "literal"), _json(method=F.col("literal"))))
@@ -234,8 +248,8 @@ def dereferenced(facts: DataFrame, uids: DataFrame) -> DataFrame:
     return rows.join(placed, ["file", "rid"]).where("target is not null and target <> ''")
 
 
-def section_parts(facts: DataFrame, listing: DataFrame, uids: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """(edges, boundary points, nodes with seq) of scenes, resources, sidecars.  ``listing``: path, kind."""
+def section_parts(facts: DataFrame, listing: DataFrame, uids: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame, DataFrame]:
+    """(edges, boundary points, nodes with seq, groups of attached scripts) of scenes, resources, sidecars.  ``listing``: path, kind."""
     edges, points = [], []
     kinds = listing.select(F.col("path").alias("file"), F.col("kind").alias("fkind"))
     own = cut(facts.where("fact in ('ext', 'node', 'group', 'script', 'sub_script', 'ref', 'value', 'connection', 'editable')").join(kinds.where("fkind in ('scene', 'resource')"), "file"), "sections")
@@ -252,6 +266,12 @@ def section_parts(facts: DataFrame, listing: DataFrame, uids: DataFrame) -> tupl
     edges.append(_edge(paths, "references_node", here, keys.prefixed("nodepath", "c"), "editor", False, _json(property=F.col("a"), path=F.col("c"))))
     edges.append(_edge(met.where("fact = 'ref'"), keys.asset_edge_type("rtype"), file, F.col("target"), "editor", True, _json(property=F.col("a"))))
 
+    # the tracks of an animation, and the layers that a node's bits name
+    tracks = paths.where("owner is null and a like 'tracks/%/path'")
+    edges.append(_edge(tracks, "animates", file, keys.prefixed("nodepath", F.substring_index("c", ":", 1)), "editor", False, _json(property=F.col("a"), path=F.col("c"))))
+    masks = own.where("fact = 'value' and b = 'int'").where(F.col("a").isin(*LAYER_PROPERTIES)).withColumn("bits", F.conv("c", 10, 2)).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("bits"))))
+    edges.append(_edge(masks.where(F.substring("bits", F.length("bits") - F.col("i") + 1, F.lit(1)) == "1"), "uses_layer", here, keys.concept_id("layer", "i"), "editor", True, _json(property=F.col("a"))))
+
     # connections: the emitter's type and the handler's script, by node path
     nodes = own.where("fact = 'node'")
     types = nodes.where("b <> ''").groupBy("file", F.col("d").alias("from_")).agg(F.max_by("b", "seq").alias("etype"))
@@ -280,7 +300,8 @@ def section_parts(facts: DataFrame, listing: DataFrame, uids: DataFrame) -> tupl
     full = nodes.where(scene).join(instance, ["file", "seq"], "left").join(script, ["file", "d"], "left")
     identity = _json(name=F.col("a"), scene=file, node_type=_text("b"), root=F.when(F.col("c") == "", F.lit(True)), parent=_text("c"), instance=F.col("instance"), script=F.col("script"))
     made = full.select("seq", _within("file", "d").alias("id"), F.lit("scene_node").alias("kind"), file.alias("path"), "line", identity.alias("identity"), F.lit(None).cast("string").alias("properties"))
-    return edges, points, made
+    in_group = own.where("fact = 'group'").select("file", "owner", F.col("a").alias("group")).join(attached, ["file", "owner"]).select(F.col("target").alias("file"), "group")
+    return edges, points, made, in_group
 
 
 # ---- all of it -----------------------------------------------------------------------------------
@@ -298,8 +319,8 @@ def extracted(files: DataFrame, concepts: DataFrame | None = None, main_scene: s
     concepts = concepts if concepts is not None else spark.createDataFrame([], NODE_SCHEMA)
     autoloads = concepts.where("kind = 'autoload'").select(F.substring("id", 10, 1 << 30).alias("name"))
     real = listing.where("kind not in ('import', 'plugin')")
-    fe, fp = script_parts(facts, real.select("path"), autoloads)
-    se, sp, scene_nodes = section_parts(facts, listing, uids)
+    se, sp, scene_nodes, groups_in_scenes = section_parts(facts, listing, uids)
+    fe, fp = script_parts(facts, real.select("path"), autoloads, groups_in_scenes)
 
     # identities of files
     setting = lambda name: F.max(F.when(F.col("b") == name, F.col("c"))).alias(name)

@@ -15,6 +15,8 @@ from weftgraph.plans.materialize import cut
 
 SHARE = 0.01
 SALTS = 16
+#: Rows that any task can hold and sort: no key of so few is too hot.
+SMALL = 200_000
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = SHARE) -> list:
@@ -42,7 +44,13 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, h
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
-    """``spread_left_join`` whose heavy keys are those of ``left``, which is written once for both uses."""
+def left_join(left: DataFrame, right: DataFrame, key: str, spread: str, small: int = SMALL) -> DataFrame:
+    """``spread_left_join`` whose heavy keys are those of ``left``, which is written once for both uses.
+
+    A ``left`` of at most ``small`` rows is one task's work whatever its keys, so nothing is dealt; the
+    rows are the same.
+    """
     kept = left if hasattr(left, "_weft_path") else cut(left, "left")
+    if kept.count() <= small:  # from the footers of the written files
+        return kept.join(right, key, "left")
     return spread_left_join(kept, right, key, spread, heavy_keys(kept, key))

@@ -9,7 +9,7 @@ DataFrames (``operators.extract``).  A fact is a tuple (line, fact, owner, a, b,
   export       a: name, b: declared type
   signal       a: name, b: parameter names joined by ','
   func         a: name, b: return type, c: number of parameters, d: flags of 'static', 'rpc', e: complexity; owner: the class name known so far
-  call         a: 'plain' or 'attr', b: method, c: head of the chain, d: JSON [part before the method, emitter type], e: JSON of the first two arguments
+  call         a: 'plain' or 'attr', b: method, c: head of the chain, d: JSON [part before the method, emitter type], e: JSON of the first three arguments
   reach        a: node path
   head         a: name at the head of a chain
   problem      a: message
@@ -157,7 +157,7 @@ class _Walk:
             self.place(at, owner)
 
     def call(self, line: int, form: str, owner: str | None, method: str, head: str, before: str, emitter: str, args: list) -> None:
-        given = [{"s": unquoted(a[2])} if a[0] == "str" else {"x": self.p.source(a)} for a in args[:2]]
+        given = [{"s": unquoted(a[2])} if a[0] == "str" else {"x": self.p.source(a)} for a in args[:3]]
         self.add(line, "call", owner, form, method, head, json.dumps([before, emitter]), json.dumps(given))
 
 

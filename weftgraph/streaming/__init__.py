@@ -1 +1 @@
-
+"""Following tables that grow: the incremental operators behind Structured Streaming."""
