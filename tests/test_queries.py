@@ -13,7 +13,7 @@ TABLES = os.environ.get("WEFT_TABLES", "/root/testdata/sf0.001")
 CORE = training_queries.queries() | graph_queries.queries() | extract_queries.queries()
 SQL = __spark_entry__.oracle_sql()
 #: Queries that no statement expresses; each has a test of its own.
-WITHOUT = {"r11_communities", "r14_sprawl", "x_facts", "x_nodes", "x_edges", "x_boundaries", "x_diagnostics", "x_totals", "x12_functions", "x3_scene_nodes", "j1_resources", "x_rules", "i_dead_export", "i_export_type_mismatch"}
+WITHOUT = {"r11_communities", "r14_sprawl", "x_facts", "x_nodes", "x_edges", "x_boundaries", "x_diagnostics", "x_totals", "x12_functions", "x3_scene_nodes", "j1_resources", "x_rules", "i_export_type_mismatch"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 
 
@@ -45,6 +45,6 @@ def test_query_equals_its_statement(spark, duck, name):
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["r14_sprawl", "x_facts", "x_totals", "x12_functions", "x3_scene_nodes", "j1_resources", "i_dead_export"])
+@pytest.mark.parametrize("name", ["r14_sprawl", "x_facts", "x_totals", "x12_functions", "x3_scene_nodes", "j1_resources"])
 def test_other_queries_run(spark, name):
     assert CORE[name](spark, TABLES).count() >= 0

@@ -15,7 +15,7 @@ their target.  ``edge_id`` and ``boundary_id`` are hashes of where the fact stan
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import keys
 from weftgraph.plans.materialize import cut
+from weftgraph.plans.together import together
 from weftgraph.project import BOUNDARY_COLUMNS, EDGE_COLUMNS, NODE_COLUMNS, NODE_SCHEMA, Project
 from weftgraph.sources import discovery, script_facts, section_facts
 
@@ -313,9 +314,8 @@ def extracted(files: DataFrame, concepts: DataFrame | None = None, main_scene: s
     ``concepts``: nodes of autoloads, actions, groups and layers.
     """
     spark: SparkSession = files.sparkSession
-    listing = cut(files.select("path", discovery.kind_of("path").alias("kind")).where("path is not null and kind is not null").distinct(), "listing")
-    facts = cut(facts_of(files), "facts")
-    uids = cut(discovery.uid_map(files), "uids")
+    listed = files.select("path", discovery.kind_of("path").alias("kind")).where("path is not null and kind is not null").distinct()
+    listing, facts, uids = together(spark, [partial(cut, listed, "listing"), partial(cut, facts_of(files), "facts"), partial(cut, discovery.uid_map(files), "uids")])
     concepts = concepts if concepts is not None else spark.createDataFrame([], NODE_SCHEMA)
     autoloads = concepts.where("kind = 'autoload'").select(F.substring("id", 10, 1 << 30).alias("name"))
     real = listing.where("kind not in ('import', 'plugin')")
@@ -347,4 +347,5 @@ def extracted(files: DataFrame, concepts: DataFrame | None = None, main_scene: s
     points = points.select(F.xxhash64("file", "seq", "type", "node_id", "match_key").alias("boundary_id"), *[F.col(c) for c in BOUNDARY_COLUMNS[1:5]], F.col("file").alias("ev_file"), F.col("line").alias("ev_line"), "meta")
     source = F.when(F.lower("file").endswith(".gd"), "gdscript").otherwise("scene")
     problems = facts.where("fact = 'problem'").select(source.alias("source"), "file", "line", F.col("a").alias("msg"))
-    return Project(cut(nodes, "nodes"), cut(edges, "edges"), cut(points, "boundaries"), cut(problems, "diagnostics"))
+    tables = (("nodes", nodes), ("edges", edges), ("boundaries", points), ("diagnostics", problems))
+    return Project(*together(spark, [partial(cut, df, name) for name, df in tables]))

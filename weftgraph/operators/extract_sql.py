@@ -32,6 +32,9 @@ def oracle_sql() -> dict[str, str]:
         "s8_header_uids": f"WITH {_FILES}, {heads} SELECT path, uid FROM heads",
         "s9_import_uids": f"WITH {_FILES}, {cars} SELECT path, uid, source_file FROM cars",
         "s_uid_map": f"""WITH {_FILES}, {heads}, {cars} SELECT uid, max(p)[5:] AS path FROM (SELECT uid, 'r0: ' || path AS p FROM heads WHERE uid IS NOT NULL UNION ALL SELECT uid, 'r1: ' || {norm} FROM cars WHERE uid IS NOT NULL AND source_file IS NOT NULL) GROUP BY uid""",
+        "i_dead_export": f"""WITH {_FILES}, r AS (SELECT path, string_split(content, chr(10)) AS ls FROM f WHERE {_EXT} = 'gd'), e AS (SELECT path, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM r),
+          v AS (SELECT path, n, regexp_extract(l, '^@export[a-z_]*(?:\\([^)]*\\))?[ \\t]+(?:@[a-z_]+[ \\t]+)*(?:static[ \\t]+)?var[ \\t]+([A-Za-z_][A-Za-z_0-9]*)', 1) AS v FROM e)
+          SELECT 'dead_export' AS rule, 'warning' AS severity, path AS node_id, path AS file, CAST(n AS INTEGER) AS line, path || '::' || v || ' is never assigned' AS message FROM v WHERE v <> ''""",
         "x11_signals": f"WITH {_FILES} SELECT DISTINCT path AS file, n AS name FROM (SELECT path, unnest(regexp_extract_all(content, '(?m)^[ \\t]*signal[ \\t]+([A-Za-z_][A-Za-z_0-9]*)', 1)) AS n FROM f WHERE {_EXT} = 'gd')",
         "x10_bases": f"""WITH {_FILES} SELECT DISTINCT path AS file, regexp_replace(n, '^"|"$', '', 'g') AS base FROM (SELECT path, unnest(regexp_extract_all(content, '(?m)^(?:class_name[ \\t]+[A-Za-z_0-9]+[ \\t]+)?extends[ \\t]+([A-Za-z_][A-Za-z_0-9.]*|"[^"\\n]*")', 1)) AS n FROM f WHERE {_EXT} = 'gd')""",
     }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.keys import canonical_key
 from weftgraph.operators.current import current_rows
 from weftgraph.plans.materialize import cut
-from weftgraph.plans.skew import left_join
+from weftgraph.plans.skew import SMALL, left_join
 
 
 def vertices(nodes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -31,7 +31,12 @@ def links(ids: DataFrame, edges: DataFrame) -> DataFrame:
 def valid_links(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct pairs of different ids in ``edges`` (source_id, target_id) that are both vertices."""
     pairs = cut(edges.select("source_id", "target_id").where("source_id <> target_id").distinct(), "pairs")
-    for end, other in (("source_id", "target_id"), ("target_id", "source_id")):
+    ends = (("source_id", "target_id"), ("target_id", "source_id"))
+    if pairs.count() <= SMALL:
+        for end, _ in ends:
+            pairs = pairs.join(ids.select(F.col("id").alias(end)), end, "left_semi").select("source_id", "target_id")
+        return pairs
+    for end, other in ends:
         there = ids.select(F.col("id").alias(end), F.lit(True).alias("there"))
         pairs = left_join(pairs, there, end, other).where("there").select("source_id", "target_id")
     return pairs

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from weftgraph.functions.keys import path_distance
 from weftgraph.operators import resolve
 from weftgraph.plans.materialize import cut
 from weftgraph.plans.skew import left_join
+from weftgraph.plans.together import together
 from weftgraph.project import Project
 
 #: Severities, the gravest first.
@@ -312,12 +313,13 @@ def findings(p: Project, settings: Settings = Settings(), only: tuple[str, ...]
     names = [n for n in RULES if n not in settings.disabled and (not only or n in only)]
     if not names:
         return p.edges.sparkSession.createDataFrame([], SCHEMA)
-    parts = []
-    for name in names:
+
+    def one(name: str) -> DataFrame:
         severity, check = RULES[name]
         level = settings.severity.get(name, severity)
-        parts.append(check(p, settings).select(F.lit(name).alias("rule"), F.lit(level).alias("severity"), *COLUMNS[2:]))
-    found = reduce(DataFrame.unionByName, parts)
+        return check(p, settings).select(F.lit(name).alias("rule"), F.lit(level).alias("severity"), *COLUMNS[2:])
+
+    found = reduce(DataFrame.unionByName, together(p.edges.sparkSession, [partial(one, n) for n in names]))
     if settings.suppress:
         hidden = p.edges.sparkSession.createDataFrame(list(settings.suppress), "rule string, node_id string").distinct()
         found = found.join(hidden, ["rule", "node_id"], "left_anti")
@@ -337,7 +339,8 @@ def severity_counts(found: DataFrame) -> DataFrame:
 
 def materialised(p: Project) -> Project:
     """The project with its tables written once, for many rules that read them."""
-    return Project(cut(p.nodes, "nodes"), cut(p.edges, "edges"), cut(p.boundaries, "boundaries"), p.diagnostics, p.meta)
+    tables = (("nodes", p.nodes), ("edges", p.edges), ("boundaries", p.boundaries))
+    return Project(*together(p.edges.sparkSession, [partial(cut, df, name) for name, df in tables]), p.diagnostics, p.meta)
 
 
 def suggestions(p: Project, found: DataFrame) -> DataFrame:

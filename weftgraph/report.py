@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,28 @@ def node_text(view: dict) -> str:
     return "\n".join([*out, *[f"    <-{e['type']}- {e['peer']}  ({e['origin']}{tag(e)})" for e in view["inbound"]]])
 
 
+def golden_rows(p: Project) -> dict[str, list[dict]]:
+    """A project as plain records in a fixed order, empty fields left out, JSON fields as values; for small projects."""
+    order = {"nodes": ("id",), "edges": ("source_id", "type", "target_id", "ev_line"), "boundaries": ("node_id", "type", "match_key", "ev_line")}
+    out = {}
+    for name, by in order.items():
+        rows = []
+        for r in _rows(getattr(p, name).drop("edge_id", "boundary_id")):
+            rows.append({k: json.loads(v) if k in ("identity", "properties", "meta") else v for k, v in r.items() if v not in (None, "", 0) or k in ("resolved", "node_id")})
+        out[name] = sorted(rows, key=lambda r: ([str(r.get(k) or "") for k in by[:3]], r.get("ev_line") or 0, json.dumps(r, sort_keys=True)))
+    return out
+
+
+def matches_golden(path: str, value) -> bool:
+    """Whether the file holds ``value``; with WEFT_UPDATE_GOLDEN set, or without a file, it is written first."""
+    text = json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    if os.environ.get("WEFT_UPDATE_GOLDEN") or not os.path.exists(path):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+    with open(path, encoding="utf-8") as f:
+        return f.read() == text
+
+
 def stats_view(p: Project, top: int = 10) -> dict:
     """Totals and the nodes with most fan-in; ``top`` of 0 or less shows all."""
     return stats.totals(p).first().asDict() | {"top_fan_in": _rows(stats.ranking(p, "fan_in", top))}

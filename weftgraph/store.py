@@ -27,6 +27,7 @@ from weftgraph.project import BOUNDARY_SCHEMA, DIAGNOSTIC_SCHEMA, EDGE_SCHEMA, N
 
 SCHEMA_VERSION = 2
 TABLES = {"nodes": NODE_SCHEMA, "edges": EDGE_SCHEMA, "boundaries": BOUNDARY_SCHEMA, "diagnostics": DIAGNOSTIC_SCHEMA, "findings": FINDING_SCHEMA}
+_META = "key string, value string"
 KEPT = 2  # snapshots that stay: the current one, and the one that a reader may still be in
 
 
@@ -89,22 +90,26 @@ class Store:
         for old in [n for n in names if n < name][: -(KEPT - 1) or None]:
             self._fs.delete(self._at(f"snapshots/{old}"), True)
 
-    def _table(self, name: str) -> DataFrame:
+    def _table(self, name: str, schema: str | None = None) -> DataFrame:
         current = self._current()
         if current is None:
             raise StoreError(f"no project is stored in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/snapshots/{current}/{name}")
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.path}/snapshots/{current}/{name}")
 
     def meta(self, key: str) -> str | None:
         """One value; null if the key is unknown."""
-        row = self._table("meta").where(F.col("key") == key).first()
+        row = self._table("meta", _META).where(F.col("key") == key).first()
         return row["value"] if row else None
 
     def load(self) -> Project:
         version = int(self.meta("schema_version") or 1)
         names = [n for n in TABLES if n != "findings"]
-        t = migrate({n: self._table(n) for n in names}, version)
-        return Project(t["nodes"], t["edges"], t["boundaries"], t["diagnostics"], self._table("meta"))
+        if version == SCHEMA_VERSION:  # the layout is known: no file is opened for its schema
+            t = {n: self._table(n, TABLES[n]) for n in names}
+        else:
+            t = migrate({n: self._table(n) for n in names}, version)
+        return Project(t["nodes"], t["edges"], t["boundaries"], t["diagnostics"], self._table("meta", _META))
 
     def findings(self) -> DataFrame:
         return migrate({"edges": self._table("edges"), "findings": self._table("findings")}, int(self.meta("schema_version") or 1))["findings"]
