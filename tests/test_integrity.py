@@ -92,3 +92,14 @@ def test_stitching(spark, project):
     b = spark.createDataFrame([(*r, None, None, None) for r in rows], BOUNDARY_SCHEMA)
     got = {r["boundary_id"]: (r["strategy"], r["n_partners"], r["partner_id"], r["confidence"]) for r in resolve.stitched(Project(project.nodes, project.edges, b)).collect()}
     assert got == {1: ("exact", 2, "h0", 1.0), 2: ("exact", 1, "h2", 1.0), 3: ("variant", 1, "h3", 0.7), 4: ("none", 0, None, 0.0), 9: ("variant", 1, "h2", 0.7)}
+
+
+def test_hints_explain_dynamic_loads(spark, project):
+    n = [(f"res://levels/level_{i}.tscn", "scene", None, None, None, None) for i in (1, 2)] + [("res://levels/deep/level_3.tscn", "scene", None, None, None, None)]
+    e = [
+        (1, "changes_scene_to", "a", "x", "code", False, 0.5, "f", 3, '{"dynamic": true, "expr": "\\"level_%d\\" % n"}'), (2, "loads_resource", "a", "y", "code", False, 0.5, "f", 4, '{"dynamic": true, "expr": "other"}'), (3, "loads_resource", "a", "res:res://levels/level_1.tscn", "code", True, 1.0, "f", 5, None),
+    ]
+    p = Project(spark.createDataFrame(n, NODE_SCHEMA), spark.createDataFrame(e, EDGE_SCHEMA), spark.createDataFrame([], BOUNDARY_SCHEMA))
+    got = resolve.hinted(p, {"level_%d": "res://levels/level_*.tscn", "bad": "[x"}).edges.where("confidence = 0.7").collect()
+    assert {(r["type"], r["target_id"], r["ev_line"]) for r in got} == {("changes_scene_to", f"res:res://levels/level_{i}.tscn", 3) for i in (1, 2)}
+    assert resolve.hinted(p, {}) is p

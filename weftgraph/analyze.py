@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import documents, extract
+from weftgraph.operators import documents, extract, resolve
 from weftgraph.operators.integrity import SEVERITIES, Settings
 from weftgraph.plans.materialize import cut
 from weftgraph.project import NODE_COLUMNS, Project
@@ -27,6 +27,7 @@ def analyze(spark: SparkSession, directory: str) -> Project:
     globs = (settings.get("docs") or {}).get("globs") or []
     if globs:
         p = documents.with_documents(p, documents.read(kept, globs))
+    p = resolve.hinted(p, {str(k): str(v) for k, v in ((settings.get("resolve") or {}).get("loads") or {}).items()})
     rows = [("version", version or ""), ("main_scene", main or ""), ("root", "res://")]
     return Project(p.nodes, p.edges, p.boundaries, p.diagnostics, spark.createDataFrame(rows, "key string, value string"))
 

@@ -12,6 +12,7 @@ buckets.  Empty graphs give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -21,6 +22,15 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.materialize import cut, drop
 from weftgraph.plans.skew import heavy_keys, left_join, spread_left_join
+from weftgraph.project import Project
+
+#: Edge types of the scoped views.
+SCOPES = {
+    "composition": ("instances", "attaches_script"),
+    "signals": ("declares_signal", "emits_signal", "connects_signal"),
+    "autoloads": ("accesses_autoload",),
+    "scene_flow": ("changes_scene_to",),
+}
 
 #: Links that one task finishes by itself: 16 bytes each, and about ten times that while it works.
 BLOCK_LINKS = 2_000_000
@@ -56,6 +66,11 @@ def focus(links: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     return both.groupBy("root", "id").agg(F.min("depth").alias("hops"))
 
 
+def scoped(p: Project, scope: str) -> Project:
+    """The project with the edges of one scoped view only."""
+    return replace(p, edges=p.edges.where(F.col("type").isin(*SCOPES[scope])))
+
+
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """id, direction, type, peer, origin, resolved of every edge at the given ids (column ``id``).
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,10 +155,26 @@ def g19_impact_rings(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / ids.select(F.count(F.lit(1))).scalar(), 6))
 
 
+def g19_impact_domains(spark: SparkSession, d: str) -> DataFrame:
+    """unit, n, share: what depends on the node with the greatest fan-in, by repository (null: shared concepts)."""
+    p, ids, links = _graph(spark, d)
+    met = graph.reach(links, _hub(p, ids, links, "fan_in"), reverse=True)
+    return met.groupBy(keys.repository("id").alias("unit")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / ids.select(F.count(F.lit(1))).scalar(), 6))
+
+
 def g20_overview(spark: SparkSession, d: str) -> DataFrame:
-    """editor_edges, unresolved."""
-    e = current_project(spark, d).edges
-    return e.agg(F.count_if(F.col("origin") == "editor").alias("editor_edges"), F.count_if(~F.coalesce("resolved", F.lit(False))).alias("unresolved"))
+    """editor_edges, unresolved, findings."""
+    p = integrity.materialised(current_project(spark, d))
+    counts = p.edges.agg(F.count_if(F.col("origin") == "editor").alias("editor_edges"), F.count_if(~F.coalesce("resolved", F.lit(False))).alias("unresolved"))
+    return counts.withColumn("findings", integrity.findings(p).select(F.count(F.lit(1))).scalar())
+
+
+def r8_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """scope, source_id, target_id: the links of each scoped view."""
+    p = current_project(spark, d)
+    p = Project(p.nodes.select("id"), cut(p.edges.select("type", "source_id", "target_id"), "edges"), p.boundaries)
+    out = [stats.graph_of(graph.scoped(p, name))[1].select(F.lit(name).alias("scope"), "source_id", "target_id") for name in graph.SCOPES]
+    return reduce(DataFrame.unionByName, out)
 
 
 def t1_top_fan_in(spark: SparkSession, d: str) -> DataFrame:
@@ -443,8 +459,8 @@ TABLE_RULES = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         g1_nodes_by_kind, g2_edges_by_type, g3_boundaries_by_direction, g4_breakdown, g5_totals, g8_order, g10_autoload_access, g11_stub_enrich, g12_signal_lists, g13_coupling, g14_autoload_fan_in, g14_instance_fan_in,
-        g14_signal_fan_out, g15_fragile_reach, g16_flow_patterns, g17_severity_counts, g18_dependency_matrix, g18_domain_summary, g19_impact_rings, g20_overview, t1_top_fan_in, t1_top_fan_out, t1_all_fan_in,
-        r2_forward_reach, r2_forward_depth2, r3_reverse_reach, r4_components, r6_directories, r6_directory_vertices, r7_node_view, r8_focus, r9_scene_flow, r10_walks, r11_communities, r12_declared, r13_unit_cycles, r14_sprawl,
+        g14_signal_fan_out, g15_fragile_reach, g16_flow_patterns, g17_severity_counts, g18_dependency_matrix, g18_domain_summary, g19_impact_rings, g19_impact_domains, g20_overview, t1_top_fan_in, t1_top_fan_out, t1_all_fan_in,
+        r2_forward_reach, r2_forward_depth2, r3_reverse_reach, r4_components, r6_directories, r6_directory_vertices, r7_node_view, r8_focus, r8_scopes, r9_scene_flow, r10_walks, r11_communities, r12_declared, r13_unit_cycles, r14_sprawl,
         r14_declared_sprawl, r15_blast_radius, j2_connections, j5_resource_exists, j6_extends_path, j7_autoloads, j8_local_calls, j13_match_keys, j14_node_paths,
         k_match_keys, k_ids, k_parsed_ids, k_scene_paths, k_asset_types, k5_json, i_findings, i_suggestions, i_configured,
     ]

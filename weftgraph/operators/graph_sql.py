@@ -191,6 +191,7 @@ def rules_with(names: list[str]) -> tuple[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     name, path = "identity->>'$.name'", "path"
+    scopes = {"composition": ("instances", "attaches_script"), "signals": ("declares_signal", "emits_signal", "connects_signal"), "autoloads": ("accesses_autoload", "accesses_autoload"), "scene_flow": ("changes_scene_to", "changes_scene_to")}
     norm = lambda c: f"(CASE WHEN {c} IS NULL THEN NULL WHEN {trimmed(c)} = '' OR {trimmed(c)} LIKE 'uid://%' THEN {trimmed(c)} WHEN {trimmed(c)} LIKE 'user://%' THEN 'user://' || {folded(f'substr({trimmed(c)}, 8)')} ELSE 'res://' || {folded(f'''regexp_replace({trimmed(c)}, '^res://', '')''')} END)"
     wild = lambda c: f"coalesce(nullif({trimmed(c)}, ''), '*')"
     owner = "identity->>'$.node_type'"
@@ -216,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "g18_dependency_matrix": f"WITH {GRAPH}, {_pairs(repository('id'))} SELECT a AS source_unit, b AS target_unit, count(*) AS n_links FROM x GROUP BY 1, 2",
         "g18_domain_summary": f"WITH {GRAPH}, {_coupling(repository('id'))} SELECT count(*) AS n_units, (SELECT count(*) FROM x WHERE a <> b) AS cross_links, round(avg(ce / nullif(ca + ce, 0)), 4) AS avg_instability FROM cc",
         "g19_impact_rings": f"WITH RECURSIVE {GRAPH}, {FANS}, {_reach(top_id('fan_in'), 't', 's')} SELECT depth, count(*) AS n, round(count(*) / (SELECT count(*) FROM n), 6) AS share FROM met GROUP BY depth",
-        "g20_overview": f"WITH {E} SELECT count(*) FILTER (WHERE origin = 'editor') AS editor_edges, count(*) FILTER (WHERE NOT ok) AS unresolved FROM e",
+        "g19_impact_domains": f"WITH RECURSIVE {GRAPH}, {FANS}, {_reach(top_id('fan_in'), 't', 's')} SELECT {repository('id')} AS unit, count(*) AS n, round(count(*) / (SELECT count(*) FROM n), 6) AS share FROM met GROUP BY 1",
         "t1_top_fan_in": rank_sql("fan_in", "LIMIT 10"),
         "t1_top_fan_out": rank_sql("fan_out", "LIMIT 10"),
         "t1_all_fan_in": rank_sql("fan_in", ""),
@@ -231,6 +232,9 @@ def oracle_sql() -> dict[str, str]:
           JOIN (SELECT s AS id, 'outbound' AS direction, type, t AS peer, origin, resolved FROM e UNION ALL SELECT t, 'inbound', type, s, origin, resolved FROM e) x USING (id)""",
         "r8_focus": f"""WITH RECURSIVE {N}, {E}, l AS MATERIALIZED (SELECT DISTINCT s, t FROM e WHERE origin = 'editor' AND s <> t AND s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)), {FANS},
           {_reach(top_id('fan_out'), bound=2)}, {_reach(top_id('fan_out'), 't', 's', 2).replace('hop', 'hop2').replace('met AS', 'met2 AS')} SELECT root, id, min(depth) AS hops FROM (SELECT * FROM met UNION ALL SELECT * FROM met2) GROUP BY 1, 2""",
+        "r8_scopes": f"WITH {N}, {E}, "
+        + ", ".join(f"s_{name} AS (SELECT DISTINCT s, t FROM e WHERE type IN ({', '.join(map(repr, types))}) AND s <> t AND s IN (SELECT id FROM n) AND t IN (SELECT id FROM n))" for name, types in scopes.items())
+        + " ".join((" UNION ALL" if i else "") + f" SELECT '{name}' AS scope, s AS source_id, t AS target_id FROM s_{name}" for i, name in enumerate(scopes)),
         "r9_scene_flow": f"WITH RECURSIVE {N}, {E}, {_FLOW}, {_reach(f'''SELECT id AS root FROM n WHERE kind = 'scene' AND coalesce(identity->>'$.main_scene', identity->>'$.mainScene') = 'true' ''', links='flow', bound=30)} SELECT * FROM met",
         "r10_walks": f"WITH RECURSIVE {E}, {B}, {_WALKS} SELECT start_id, end_id, path, hops FROM walk",
         "r12_declared": f"WITH {GRAPH}, {_pairs(_DECLARED)} SELECT DISTINCT a AS source_id, b AS target_id FROM x WHERE a <> b",
@@ -274,6 +278,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"i_{rule}"] = f"WITH {ctes} {body}"
     ctes, body = rules_with(list(RULE_SQL))
     out["i_findings"] = f"WITH {ctes} {body}"
+    out["g20_overview"] = f"WITH {ctes} SELECT count(*) FILTER (WHERE origin = 'editor') AS editor_edges, count(*) FILTER (WHERE NOT ok) AS unresolved, (SELECT count(*) FROM ({body})) AS findings FROM e"
     out["g17_severity_counts"] = f"WITH {ctes} SELECT severity, rule, count(*) AS n FROM ({body}) GROUP BY 1, 2"
     ctes, body = rules_with(["unused_group", "unused_action", "undefined_action"])
     out["i_configured"] = f"WITH {ctes} SELECT CASE WHEN rule = 'unused_group' THEN 'warning' ELSE severity END AS severity, rule, count(*) AS n FROM ({body}) WHERE NOT (rule = 'unused_action' AND node_id = 'action:jump') GROUP BY 1, 2"

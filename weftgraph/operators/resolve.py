@@ -7,9 +7,12 @@ smallest one, never the pairs.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.globs import glob_regex
 from weftgraph.plans.skew import left_join
 from weftgraph.project import Project
 
@@ -140,3 +143,25 @@ def connections(p: Project) -> DataFrame:
     return left_join(kept, types, "emitter_id", "edge_id").withColumn("emitter_type", F.coalesce(F.nullif("t", F.lit("")), F.lit("*"))).drop("t")
 
 
+
+
+def hinted(p: Project, hints: dict[str, str]) -> Project:
+    """The project with edges for dynamic loads that a hint explains.
+
+    A hint says which files (a glob over ids) an expression that contains a text may mean; it is a setting, so
+    there are few.  The dynamic edge stays; each file that a hint allows gets an edge of the same type with
+    confidence 0.7.  An expression is compared with each hint, never with each file.
+    """
+    usable = [(text, regex) for text, glob in hints.items() if (regex := glob_regex(glob))]
+    if not usable:
+        return p
+    expr = F.get_json_object("properties", "$.expr")
+    asked = p.edges.where(F.col("type").isin("loads_resource", "changes_scene_to")).where(F.get_json_object("properties", "$.dynamic") == "true").withColumn("expr", expr)
+    asked = asked.withColumn("hint", F.explode(F.filter(F.array(*[F.lit(t) for t, _ in usable]), lambda t: F.col("expr").contains(t))))
+    files = p.nodes.select(F.col("id").alias("file"), F.explode(F.filter(F.array(*[F.struct(F.lit(t).alias("hint"), F.col("id").rlike(r).alias("ok")) for t, r in usable]), lambda x: x["ok"])).alias("x")).select("file", "x.hint")
+    met = asked.join(files, "hint")
+    more = met.select(
+        F.xxhash64("edge_id", "file").alias("edge_id"), "type", "source_id", F.concat(F.lit("res:"), "file").alias("target_id"), "origin", F.lit(True).alias("resolved"), F.lit(0.7).alias("confidence"), "ev_file", "ev_line",
+        F.to_json(F.struct(F.lit("hint").alias("via"), "hint")).alias("properties"),
+    )
+    return replace(p, edges=p.edges.unionByName(more))
