@@ -62,14 +62,13 @@ BINARY = {"or": 2, "||": 2, "and": 3, "&&": 3, "in": 5, "==": 6, "!=": 6, "<": 6
 _NOT, _SIGN, _TERNARY, _CAST = 4, 13, 1, 0
 
 _TOKEN = re.compile(
-    r"""(?P<ws>(?:[ \t]|\\\n)+)|(?P<com>\#[^\n]*)|(?P<nl>\n)
+    r"""(?P<nl>\n)|(?P<ws>(?:[ \t]|\\\n)+)|(?:(?P<id>(?!r["'])[^\W\d]\w*)|(?P<com>\#[^\n]*)
     |(?P<str>[r&^]?(?:\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))
     |(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|\d[\d_]*\.\d[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*(?:[eE][+-]?\d+|\.(?![.\w]))?)
     |(?P<path>\$(?:"[^"\n]*"|'[^'\n]*'|/?(?:\.\.|%?[^\W\d]\w*)(?:/(?:\.\.|%?[^\W\d]\w*))*))
-    |(?P<id>[^\W\d]\w*)
     |(?P<op>"""
     + "|".join(re.escape(o) for o in _OPS)
-    + r")|(?P<bad>.)",
+    + r")|(?P<bad>.))[ \t]*",
     re.X | re.S,
 )
 _OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
@@ -98,7 +97,8 @@ def tokenize(text: str) -> tuple[list[Token], list[Problem]]:
     problems: list[Problem] = []
     line, indent, fresh, depth, used = 1, "", True, 0, ""
     for m in _TOKEN.finditer(text):
-        kind, s = m.lastgroup, m.group()
+        kind = m.lastgroup
+        s = m[kind]  # without the blanks after it
         if kind == "ws":
             if fresh and not indent:
                 indent = s.split("\\\n")[0]
